@@ -14,16 +14,10 @@ from pyspark.sql import functions as F
 
 from holdwright import vocab
 from holdwright.functions import rules
-from holdwright.functions.identifiers import business_number, registry_type, registry_value
+from holdwright.functions.identifiers import business_number, registry_type, registry_value, stable_id
 from holdwright.functions.text import normalise_name
 from holdwright.operators.skew import ordered_positions, skewed_lookup
-from holdwright.plans.corpus import Corpus
-
-
-def stable_id(*parts: Column) -> Column:
-    """Positive BIGINT key derived from the parts, the same on every run."""
-    digest = F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+from holdwright.plans.corpus import Corpus, entity_names
 
 
 # --- candidates --------------------------------------------------------------
@@ -46,8 +40,6 @@ def identifier_candidates(corpus: Corpus) -> DataFrame:
 
 def name_members(corpus: Corpus, created: DataFrame | None = None) -> DataFrame:
     """(name_key, entity, type) over canonical names, aliases and new entities."""
-    from holdwright.plans.corpus import entity_names
-
     names = entity_names(corpus)
     return names if created is None else names.unionByName(created.select("entity_id", "entity_type", "name_key")).distinct()
 
