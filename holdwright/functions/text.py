@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -63,12 +64,12 @@ def scope_code(c: Column, approved: Mapping[str, str]) -> Column:
 def lookup(mapping: Mapping, key: Column) -> Column:
     """Literal dictionary as an expression; unknown keys give NULL.
 
-    Built as a CASE chain, so it stays in generated code and needs no join.
+    The dictionary is one constant-folded map literal: no join, and a plan that
+    does not grow with the number of entries.
     """
-    out = None
-    for k, v in mapping.items():
-        out = F.when(key == F.lit(k), F.lit(v)) if out is None else out.when(key == F.lit(k), F.lit(v))
-    return out
+    kind = "string" if all(isinstance(v, str) for v in mapping.values()) else "boolean" if all(isinstance(v, bool) for v in mapping.values()) else "int"
+    table = F.from_json(F.lit(json.dumps(dict(mapping), ensure_ascii=False)), f"map<string,{kind}>")
+    return F.try_element_at(table, key)
 
 
 def title_words(c: Column) -> Column:
