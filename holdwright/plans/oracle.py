@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from holdwright.plans import registered_functions, registered_governance, registered_resolution
+from holdwright.plans import registered_functions, registered_governance, registered_ingest, registered_resolution
 from holdwright.plans.oracle_base import ENTITIES, FILES, LATEST, LINES, OBS, norm, with_ctes
 
 BASE = (FILES, LINES, OBS)
@@ -168,4 +168,4 @@ ORDER BY score DESC, CASE kind WHEN 'fund' THEN 0 WHEN 'company' THEN 1 ELSE 2 E
 
 
 def all_sql() -> dict[str, str]:
-    return {**READ_MODELS, **registered_resolution.SQL, **registered_governance.SQL, **registered_functions.SQL}
+    return {**READ_MODELS, **registered_resolution.SQL, **registered_governance.SQL, **registered_functions.SQL, **registered_ingest.SQL}
