@@ -1,14 +1,15 @@
 """Money, number, percent and date parsing. Bad input gives NULL, never an error.
 
-Each parser returns a pair: the parsed value and whether a non-empty input
-failed, so callers can turn failures into issue rows.
+Each parser also says whether a non-empty input failed, so callers can turn
+failures into issue rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdwright import vocab
@@ -19,10 +20,41 @@ _WIDE = "decimal(28,16)"
 
 @dataclass(frozen=True)
 class Parsed:
+    """A parse in three steps: clean text, its value, whether it failed.
+
+    `value` and `failed` spell the steps out in one expression. Callers with a
+    DataFrame at hand name each step as a column instead, so no step runs twice.
+    """
+
+    text: Column
+    to_value: Callable[[Column], Column]
+    to_failed: Callable[[Column, Column], Column]
+
+    @property
+    def value(self) -> Column:
+        return self.to_value(self.text)
+
+    @property
+    def failed(self) -> Column:
+        return self.to_failed(self.text, self.value)
+
+
+@dataclass(frozen=True)
+class Named:
+    """A parse whose steps are columns already."""
+
     value: Column
     failed: Column
 
 
+def add_parsed(df: DataFrame, parses: Mapping[str, Parsed]) -> tuple[DataFrame, dict[str, Named]]:
+    """Columns <name>_text, <name> and <name>_failed of several parses."""
+    out = df.withColumns({f"{n}_text": p.text for n, p in parses.items()})
+    out = out.withColumns({n: p.to_value(F.col(f"{n}_text")) for n, p in parses.items()})
+    out = out.withColumns({f"{n}_failed": p.to_failed(F.col(f"{n}_text"), F.col(n)) for n, p in parses.items()})
+    return out, {n: Named(F.col(n), F.col(f"{n}_failed")) for n in parses}
+
+
 @dataclass(frozen=True)
 class NumberStyle:
     """How one layout writes numbers."""
@@ -39,7 +71,7 @@ class PercentStyle:
     """How one layout writes percentages; the result is a fraction."""
 
     null_tokens: tuple[str, ...] = ("",)
-    sign: str = "required"       # required | optional | points | fraction | raw
+    sign: str = "required"       # required | optional | points | fraction
     commas: bool = True
     inner_spaces: bool = False
     plus: bool = False           # a leading + is allowed
@@ -48,47 +80,55 @@ class PercentStyle:
 
 
 def _digits(text: Column, commas: bool, spaces: bool) -> Column:
-    if commas:
-        text = F.replace(text, F.lit(","), F.lit(""))
-    if spaces:
-        text = F.replace(text, F.lit(" "), F.lit(""))
+    if commas and spaces:
+        return F.translate(text, ", ", "")
+    if commas or spaces:
+        return F.translate(text, "," if commas else " ", "")
     return text
 
 
+def _after(text: Column, n: int) -> Column:
+    return F.substr(text, F.lit(n + 1))
+
+
 def parse_number(c: Column, style: NumberStyle, to: str = vocab.MONEY) -> Parsed:
-    present = optional_text(c, style.null_tokens)
-    text = _digits(present, style.commas, style.inner_spaces)
-    if style.dollar != "none":
-        bare = F.regexp_replace(text, r"^(-?)\$", "$1")
-        text = bare if style.dollar == "optional" else F.when(text.rlike(r"^-?\$"), bare)
-    negative = None
-    if style.parentheses:
-        negative = text.rlike(r"^\(.*\)$")
-        text = F.regexp_replace(text, r"^\((.*)\)$", "$1")
-    value = text.try_cast(to)
-    if negative is not None:
-        value = F.when(negative, -value).otherwise(value)
-    return Parsed(value.try_cast(to), present.isNotNull() & value.isNull())
+    def value(present: Column) -> Column:
+        text = _digits(present, style.commas, style.inner_spaces)
+        if style.dollar != "none":
+            bare = F.when(text.startswith("$"), _after(text, 1)).when(text.startswith("-$"), F.concat(F.lit("-"), _after(text, 2)))
+            text = bare.otherwise(text) if style.dollar == "optional" else bare
+        if style.parentheses:
+            inside = text.startswith("(") & text.endswith(")")
+            number = F.translate(text, "()", "").try_cast(to)
+            return F.when(inside, -number).when(~text.startswith("("), text.try_cast(to)).try_cast(to)
+        return text.try_cast(to)
+
+    return Parsed(optional_text(c, style.null_tokens), value, lambda text, number: text.isNotNull() & number.isNull())
 
 
 def parse_percent(c: Column, style: PercentStyle, to: str = vocab.FRACTION) -> Parsed:
-    present = optional_text(c, style.null_tokens)
-    text = present
-    if style.sign == "required":
-        text = F.when(text.endswith("%"), text)
-    if style.sign in ("required", "optional"):
-        text = F.regexp_replace(text, r"\s*%$" if style.sign == "optional" else "%$", "")
-    text = _digits(text, style.commas, style.inner_spaces)
-    if style.plus:
-        text = F.regexp_replace(text, r"^\+", "")
-    number = text.try_cast(_WIDE)
-    value = number if style.sign in ("fraction", "raw") else number / F.lit(100)
-    failed = present.isNotNull() & value.isNull()
-    if style.low is not None:
-        failed = failed | F.coalesce(value < style.low, F.lit(False))
-    if style.high is not None:
-        failed = failed | F.coalesce(value > style.high, F.lit(False))
-    return Parsed(value.try_cast(to), failed)
+    def value(present: Column) -> Column:
+        text = present
+        marked = text.endswith("%")
+        bare = F.substr(text, F.lit(1), F.length(text) - 1)
+        if style.sign == "required":
+            text = F.when(marked, bare)
+        elif style.sign == "optional":
+            text = F.when(marked, F.rtrim(bare)).otherwise(text)
+        text = _digits(text, style.commas, style.inner_spaces)
+        if style.plus:
+            text = F.when(text.startswith("+"), _after(text, 1)).otherwise(text)
+        number = text.try_cast(_WIDE)
+        return (number if style.sign == "fraction" else number / F.lit(100)).try_cast(to)
+
+    def failed(text: Column, fraction: Column) -> Column:
+        bad = text.isNotNull() & fraction.isNull()
+        for limit, beyond in ((style.low, lambda x: x < style.low), (style.high, lambda x: x > style.high)):
+            if limit is not None:
+                bad = bad | F.coalesce(beyond(fraction), F.lit(False))
+        return bad
+
+    return Parsed(optional_text(c, style.null_tokens), value, failed)
 
 
 DATE_STYLES = {

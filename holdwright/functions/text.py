@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 # Unicode white space plus the four separators Python also strips.
 _SPACE = r"[\s\x1c-\x1f]"
+WHITE = " \t\n\u000b\u000c\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NBSP = "\u00a0"
 REPLACEMENT = "\ufffd"
 
 
 def clean(c: Column) -> Column:
     """Strip white space at both ends."""
-    return F.regexp_replace(c, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def clean_nbsp(c: Column) -> Column:
@@ -38,13 +39,13 @@ def normalise_name(c: Column) -> Column:
 
 
 def optional_text(c: Column, null_tokens: Iterable[str]) -> Column:
-    """NULL for the layout's null tokens (compared folded), else the clean text."""
+    """NULL for the layout's null tokens (compared without case), else the clean text."""
     cleaned = clean(c)
-    return F.when(~fold(cleaned).isin(*null_tokens), cleaned)
+    return F.when(~F.lower(cleaned).isin(*null_tokens), cleaned)
 
 
 def is_forbidden_token(c: Column, tokens: Iterable[str]) -> Column:
-    return fold(clean(c)).isin(*tokens)
+    return F.lower(clean(c)).isin(*tokens)
 
 
 def slug(c: Column, prefix: str = "") -> Column:

@@ -34,14 +34,17 @@ def parse_money_percent(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n == 5, F.lit("5.7e-07")).otherwise(F.concat(F.lit("- "), F.translate(grouped, ",", " "))).alias("spaced"),
         F.when(n == 6, pct).when(n == 7, F.lit("140.0%")).otherwise(F.concat(F.lit("+"), pct, F.lit("%"))).alias("percent"),
     )
-    dollar = numbers.parse_number(F.col("dollar"), numbers.NumberStyle(("", "n/a"), dollar="required"))
-    bracket = numbers.parse_number(F.col("bracket"), numbers.NumberStyle(("", "n/a", "nan"), parentheses=True))
-    spaced = numbers.parse_number(F.col("spaced"), numbers.NumberStyle(("", "-"), dollar="optional", inner_spaces=True), vocab.UNITS)
-    percent = numbers.parse_percent(F.col("percent"), numbers.PercentStyle(("", "-"), plus=True, low=0, high=1))
-    points = numbers.parse_percent(F.col("percent"), numbers.PercentStyle(("", "-"), sign="optional", plus=True))
-    return texts.select(
+    out, parsed = numbers.add_parsed(texts, {
+        "p_dollar": numbers.parse_number(F.col("dollar"), numbers.NumberStyle(("", "n/a"), dollar="required")),
+        "p_bracket": numbers.parse_number(F.col("bracket"), numbers.NumberStyle(("", "n/a", "nan"), parentheses=True)),
+        "p_spaced": numbers.parse_number(F.col("spaced"), numbers.NumberStyle(("", "-"), dollar="optional", inner_spaces=True), vocab.UNITS),
+        "p_percent": numbers.parse_percent(F.col("percent"), numbers.PercentStyle(("", "-"), plus=True, low=0, high=1)),
+        "p_points": numbers.parse_percent(F.col("percent"), numbers.PercentStyle(("", "-"), sign="optional", plus=True)),
+    })
+    dollar, bracket, percent = (parsed[f"p_{n}"] for n in ("dollar", "bracket", "percent"))
+    return out.select(
         "holding_key", dollar.value.alias("dollar_value"), dollar.failed.alias("dollar_failed"), bracket.value.alias("bracket_value"), bracket.failed.alias("bracket_failed"),
-        spaced.value.alias("spaced_value"), percent.value.alias("percent_value"), percent.failed.alias("percent_failed"), points.value.alias("optional_percent_value"),
+        parsed["p_spaced"].value.alias("spaced_value"), percent.value.alias("percent_value"), percent.failed.alias("percent_failed"), parsed["p_points"].value.alias("optional_percent_value"),
     )
 
 
