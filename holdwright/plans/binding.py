@@ -150,6 +150,12 @@ class DriverTables:
         files = self.source_files.where(F.col("ingest_status") == "loaded").drop("declared_total")
         return self.named_lines.join(files, "source_file_id")
 
+    @cached_property
+    def named_slices(self) -> DataFrame:
+        """Slices of current files with a named row; needs no names, so no join to parts."""
+        named = self.lines.where(~F.col("is_aggregate")).select("source_file_id")
+        return self.current_loaded_files.join(named, "source_file_id", "left_semi").select("fund_code", "reporting_period")
+
     @cached_property
     def entities(self) -> DataFrame:
         parts = self.table("part").select(
@@ -229,4 +235,5 @@ class DriverTables:
             overrides=self.overrides,
             holding_relations=self.holding_relations,
             entity_relations=self.entity_relations,
+            named_slices=self.named_slices,
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdwright.functions.text import normalise_name
@@ -28,6 +28,7 @@ class Corpus:
     overrides: DataFrame
     holding_relations: DataFrame
     entity_relations: DataFrame
+    named_slices: DataFrame | None = None  # (fund_code, reporting_period) with a current named row, when cheaper than from rows
 
 
 def loaded_current(df: DataFrame) -> DataFrame:
@@ -60,10 +61,13 @@ def with_status(df: DataFrame, status: str) -> DataFrame:
 
 
 def latest_periods(corpus: Corpus) -> DataFrame:
-    """Latest and prior observed period of every fund."""
-    from pyspark.sql import Window
+    """Latest and prior observed period of every fund.
 
-    seen = current_named(corpus).select("fund_code", "reporting_period").distinct()
+    Slices are made distinct first; then only two rows per fund and input
+    partition reach the ranking.
+    """
+    seen = current_named(corpus) if corpus.named_slices is None else corpus.named_slices
+    seen = seen.select("fund_code", "reporting_period").distinct()
     recent = Window.partitionBy("fund_code").orderBy(F.desc("reporting_period"))
     ranked = seen.withColumn("recency", F.dense_rank().over(recent)).where(F.col("recency") <= 2)
     return ranked.groupBy("fund_code").agg(

@@ -18,6 +18,7 @@ from holdwright.functions.identifiers import business_number, registry_type, reg
 from holdwright.functions.text import normalise_name
 from holdwright.operators.skew import ordered_positions, skewed_lookup
 from holdwright.plans.corpus import Corpus, entity_names
+from holdwright.session import cut_lineage
 
 
 # --- candidates --------------------------------------------------------------
@@ -169,14 +170,17 @@ def first_stage(corpus: Corpus, observations: DataFrame, now: Column, force_reru
 
 
 def resolve(
-    corpus: Corpus, now: Column, observations: DataFrame | None = None, force_rerun: bool = False, clear_stale: bool = False
+    corpus: Corpus, now: Column, observations: DataFrame | None = None, force_rerun: bool = False, clear_stale: bool = False,
+    cut: bool = False,
 ) -> DataFrame:
     """Outcome and entity of every holding.
 
     Overrides act first and names second, so an entity created by an override
-    is a name candidate for every holding whatever the row order.
+    is a name candidate for every holding whatever the row order. With `cut`
+    the first stage is checkpointed, since both passes read it.
     """
     rows = first_stage(corpus, corpus.observations if observations is None else observations, now, force_rerun)
+    rows = cut_lineage(rows) if cut else rows
     names = name_candidates(name_members(corpus, created_entities(rows)))
     rows = skewed_lookup(rows, names, ["name_key"], ["holding_key"])
     scoped = F.when(F.col("scope") == "manager", F.col("name_manager")).when(F.col("scope") == "company", F.col("name_company")).otherwise(F.col("name_all"))
