@@ -65,15 +65,24 @@ FUND_KIND = """CASE WHEN ownership_pct IS NOT NULL OR disclosure_completeness =
   ELSE 'unknown' END"""
 TIER = """CASE confidence_tier WHEN 'seeded' THEN 'Reviewed' WHEN 'high' THEN 'High Confidence' WHEN 'medium' THEN 'Medium Confidence'
   WHEN 'low' THEN 'Low Confidence' ELSE 'Linked' END"""
-MANAGER_ROWS = f"""mo AS (
-  SELECT owner AS owner_id, x.*, same_m OR (same_e AND kind = 'manager_rollup') AS is_manager_role, same_e AS is_direct, same_i OR same_b AS is_issuer
+OWNER_ROWS = f"""mo AS (
+  SELECT owner AS owner_id, canonical_name, confidence_tier, x.*, same_m OR (same_e AND kind = 'manager_rollup') AS is_manager_role, same_e AS is_direct, same_i OR same_b AS is_issuer
   FROM (SELECT o.*, coalesce(manager_entity_id = owner, false) AS same_m, coalesce(entity_id = owner, false) AS same_e,
       coalesce(issuer_entity_id = owner, false) AS same_i, coalesce(issuer_bridge_id = owner, false) AS same_b,
       CASE WHEN coalesce(manager_entity_id = owner, false) THEN 'manager_rollup' WHEN coalesce(issuer_entity_id = owner, false) THEN 'direct_holding'
         WHEN ownership_pct IS NOT NULL OR disclosure_completeness = 'fully_disclosed' THEN 'direct_holding'
         WHEN coalesce(lower(source_subclass_raw) = 'externally managed', false) THEN 'manager_rollup'
         WHEN coalesce(contains(lower(classification_raw), 'manager'), false) THEN 'manager_rollup' ELSE 'unknown' END AS kind
-    FROM {exploded(LINKS4)} o) x JOIN entities e ON e.entity_id = owner AND e.entity_type = 'manager')"""
+    FROM {exploded(LINKS4)} o) x JOIN entities e ON e.entity_id = owner AND e.entity_type = '{{kind}}')"""
+MANAGER_ROWS = OWNER_ROWS.format(kind="manager")
+
+
+def owner_rows(kind: str, role: str) -> str:
+    return base(f"""SELECT owner_id, holding_key, kind AS observation_kind, {role} AS is_manager_role, is_direct, is_issuer, CASE WHEN {role} THEN 'manager' WHEN is_direct THEN 'direct' ELSE 'issuer' END AS first_role,
+  value_aud IS NULL AND ownership_pct IS NULL AS is_non_precise, value_band_raw IS NOT NULL AS is_value_band,
+  CASE WHEN is_direct THEN {TIER} WHEN k.name_key IS NOT NULL AND raw_name <> canonical_name THEN 'Observed Alias' WHEN k.name_key IS NOT NULL THEN 'Linked' ELSE 'Unresolved' END AS confidence_label
+FROM mo LEFT JOIN enames k ON k.entity_id = owner_id AND k.name_key = {norm('raw_name')}""", ENTITIES, OWNER_ROWS.format(kind=kind))
+
 
 SUBJECTS = """subjects AS (
   SELECT 'fund' AS kind, fund_name AS title, CAST(NULL AS BIGINT) AS entity_id, fund_code, 'fund_code' AS matched_on, fund_code AS candidate, 0 AS place, 240 AS priority FROM (SELECT DISTINCT fund_code, fund_name FROM files)
@@ -138,7 +147,8 @@ UNION ALL SELECT DISTINCT 'asset_class', asset_class_code, CASE asset_class_code
 FROM pairs JOIN entities USING (entity_id) WHERE entity_type = 'company' GROUP BY 1, 2""", ENTITIES, slices("reporting_period, fund_code, option_code")),
     "disclosure_summary": base(f"""SELECT entity_id, disclosure_completeness, count(*) AS observation_count, CASE disclosure_completeness WHEN 'fully_disclosed' THEN 'Direct' WHEN 'value_only' THEN 'Value only'
   WHEN 'ownership_only' THEN 'Ownership only' WHEN 'name_only' THEN 'Name only' ELSE 'Section total' END AS label, CAST({RANK} AS BIGINT) AS state_rank FROM pairs GROUP BY 1, 2""", ENTITIES, slices("disclosure_completeness")),
-    "manager_observations": base("""SELECT owner_id, holding_key, kind AS observation_kind, is_manager_role, is_direct, is_issuer, CASE WHEN is_manager_role THEN 'manager' WHEN is_direct THEN 'direct' ELSE 'issuer' END AS first_role FROM mo""", ENTITIES, MANAGER_ROWS),
+    "manager_observations": owner_rows("manager", "is_manager_role"),
+    "company_observations": owner_rows("company", "same_m"),
     "manager_role_groups": base(f"""SELECT owner_id AS entity_id, fund_code, option_code, CAST(count(*) AS BIGINT) AS row_count, {total('value_aud', 'value_total')}, CASE WHEN grouping(option_code) = 1 THEN 'fund' ELSE 'option' END AS level
 FROM mo WHERE is_manager_role GROUP BY GROUPING SETS ((owner_id, fund_code), (owner_id, fund_code, option_code))""", ENTITIES, MANAGER_ROWS),
     "role_classes": base(f"""SELECT entity_id, CAST(count(*) AS BIGINT) AS observation_count, count(DISTINCT fund_code) AS fund_count, bool_or(m) AS has_manager_role, bool_or(i) AS has_issuer_role, bool_or(o) AS has_ownership_role,

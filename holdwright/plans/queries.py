@@ -24,6 +24,11 @@ def _longs(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
 
 
+def _owner_rows(corpus, entity_type: str) -> DataFrame:
+    rows = rm.with_row_confidence(rm.owner_observations(corpus, entity_type), corpus)
+    return rows.select("owner_id", "holding_key", "observation_kind", "is_manager_role", "is_direct", "is_issuer", "first_role", "is_non_precise", "is_value_band", "confidence_label")
+
+
 READ_MODELS: dict[str, Query] = {
     "asset_mix_by_disclosure": _on_corpus(rm.asset_mix),
     "file_list_counts": _on_corpus(rm.file_list),
@@ -42,9 +47,8 @@ READ_MODELS: dict[str, Query] = {
     "entity_fund_period_counts": _on_corpus(rm.entity_fund_periods),
     "company_period_history": _on_corpus(rm.company_periods),
     "disclosure_summary": _on_corpus(rm.disclosure_summary),
-    "manager_observations": _on_corpus(
-        lambda c: rm.manager_observations(c).select("owner_id", "holding_key", "observation_kind", "is_manager_role", "is_direct", "is_issuer", "first_role")
-    ),
+    "manager_observations": _on_corpus(lambda c: _owner_rows(c, "manager")),
+    "company_observations": _on_corpus(lambda c: _owner_rows(c, "company")),
     "manager_role_groups": _on_corpus(rm.manager_role_groups),
     "role_classes": _on_corpus(rm.manager_roles),
     "name_sets": _on_corpus(rm.name_sets),

@@ -315,20 +315,21 @@ def disclosure_summary(corpus: Corpus) -> DataFrame:
     )
 
 
-def manager_observations(corpus: Corpus) -> DataFrame:
-    """Linked rows of every manager with the roles each row plays for it.
+def owner_observations(corpus: Corpus, entity_type: str) -> DataFrame:
+    """Linked rows of every manager or company with the roles each row plays for it.
 
-    `first_role` is the section a holding is listed under: manager before
-    direct before issuer.
+    A manager also plays its role through an entity link that is a roll-up; a
+    company only through the manager link. `first_role` is the section a
+    holding is listed under: manager before direct before issuer.
     """
     rows = current_named(corpus)
     ids = F.array_distinct(F.array_compact(F.array(*LINKS)))
     out = rows.select(
         F.explode(ids).alias("owner_id"), "holding_key", *LINKS, "fund_code", "fund_name", "option_code", "option_name", "reporting_period",
-        "value_aud", "ownership_pct", "disclosure_completeness", "source_subclass_raw", "classification_raw", "raw_name", "asset_class_code",
+        "value_aud", "ownership_pct", "value_band_raw", "disclosure_completeness", "source_subclass_raw", "classification_raw", "raw_name", "asset_class_code",
     )
-    managers = corpus.entities.where(F.col("entity_type") == "manager").select(F.col("entity_id").alias("owner_id"))
-    out = out.join(managers, "owner_id")
+    owners = corpus.entities.where(F.col("entity_type") == entity_type).select(F.col("entity_id").alias("owner_id"), "canonical_name", rules.tier_label(F.col("confidence_tier")).alias("entity_label"))
+    out = out.join(owners, "owner_id")
     owner = F.col("owner_id")
     same = lambda c: F.coalesce(F.col(c) == owner, F.lit(False))
     kind = rules.manager_view_kind(
@@ -336,12 +337,38 @@ def manager_observations(corpus: Corpus) -> DataFrame:
         F.col("source_subclass_raw"), F.col("classification_raw"),
     )
     out = out.withColumn("observation_kind", kind)
-    out = out.withColumn("is_manager_role", same("manager_entity_id") | (same("entity_id") & (F.col("observation_kind") == "manager_rollup")))
+    rollup = same("entity_id") & (F.col("observation_kind") == "manager_rollup") if entity_type == "manager" else F.lit(False)
+    out = out.withColumn("is_manager_role", same("manager_entity_id") | rollup)
     out = out.withColumn("is_direct", same("entity_id")).withColumn("is_issuer", same("issuer_entity_id") | same("issuer_bridge_id"))
     first = F.when(F.col("is_manager_role"), "manager").when(F.col("is_direct"), "direct").otherwise("issuer")
+    out = out.withColumn("is_non_precise", F.col("value_aud").isNull() & F.col("ownership_pct").isNull()).withColumn("is_value_band", F.col("value_band_raw").isNotNull())
     return out.withColumn("first_role", first).drop(*LINKS)
 
 
+def manager_observations(corpus: Corpus) -> DataFrame:
+    return owner_observations(corpus, "manager")
+
+
+def with_row_confidence(observations: DataFrame, corpus: Corpus) -> DataFrame:
+    """Confidence label of each listed row: its link, else how well its name is known."""
+    known = entity_names(corpus).select(F.col("entity_id").alias("owner_id"), "name_key", F.lit(True).alias("is_known"))
+    rows = observations.withColumn("name_key", normalise_name(F.col("raw_name"))).join(known, ["owner_id", "name_key"], "left")
+    label = rules.row_confidence(F.col("is_direct"), F.coalesce("is_known", F.lit(False)), F.col("raw_name"), F.col("canonical_name"), F.col("entity_label"))
+    return rows.withColumn("confidence_label", label).drop("is_known", "name_key")
+
+
+def entity_detail(corpus: Corpus, entity_id: int) -> DataFrame:
+    """Current rows of one entity, by any link or by name, with how each matched."""
+    names = entity_names(corpus).where(F.col("entity_id") == entity_id).select(F.col("name_key").alias("own_name"))
+    rows = current_named(corpus).withColumn("name_key", normalise_name(F.col("raw_name")))
+    linked = F.lit(False)
+    for c in LINKS:
+        linked = linked | F.coalesce(F.col(c) == entity_id, F.lit(False))
+    by_link = rows.where(linked).withColumn("matched_by", F.lit("link"))
+    by_name = rows.where(~linked).join(names, F.col("name_key") == F.col("own_name"), "left_semi").withColumn("matched_by", F.lit("name"))
+    return by_link.unionByName(by_name).drop("name_key")
+
+
 def manager_role_groups(corpus: Corpus) -> DataFrame:
     """Fund totals and option totals of each manager's role rows."""
     rows = manager_observations(corpus).where(F.col("is_manager_role"))
@@ -450,6 +477,12 @@ def name_in_corpus(corpus: Corpus, name: str) -> bool:
     return not rows.where(hit).limit(1).isEmpty()
 
 
+def resolution_queue(corpus: Corpus, items: DataFrame) -> DataFrame:
+    """Queue items with the holding, fund, option and period they are about."""
+    about = corpus.observations.select("holding_key", "raw_name", "source_file_id", "fund_code", "fund_name", "option_name", "reporting_period", "identifier_type", "identifier_value")
+    return items.select("holding_key", "group_kind", "group_key", "candidate_count", "top_candidate_score", "status").join(about, "holding_key")
+
+
 # --- search ------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdwright import vocab
-from holdwright.functions import identifiers, identity, numbers, rules, text
+from holdwright.functions import identifiers, identity, numbers, payload, rules, text
 from holdwright.plans.binding import DriverTables
 from holdwright.plans.oracle_base import LINES, norm, with_ctes
 
@@ -153,7 +153,23 @@ def normalise_texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def payload_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored payloads of the three shapes, one row per tagged entry."""
+    li = DriverTables(spark, sf).table("lineitem")
+    part, n = F.col("l_partkey").cast("string"), F.col("l_linenumber")
+    record = F.concat(F.lit('["'), part, F.lit('","x"]'))
+    stored = (
+        F.when(n <= 2, record).when(n <= 4, F.concat(F.lit("["), record, F.lit(',["y"],["z"]]')))
+        .when(n <= 6, F.concat(F.lit('[{"source_row_number":77,"payload":'), record, F.lit('},{"payload":["w"]}]')))
+    )
+    rows = li.select(*_key(), stored.alias("stored"), n.alias("n"))
+    entries = payload.tagged_entries(F.col("stored"), F.col("n"), F.array(F.lit(90)))
+    out = rows.select("holding_key", F.posexplode(entries).alias("place", "e"))
+    return out.select("holding_key", F.col("place").cast("bigint").alias("place"), F.col("e.source_row_number").cast("bigint").alias("source_row_number"), F.concat_ws("|", "e.payload").alias("payload"))
+
+
 QUERIES = {
+    "payload_entries": payload_entries,
     "parse_money_percent": parse_money_percent,
     "parse_dates": parse_dates,
     "identifier_types": identifier_types,
@@ -179,6 +195,9 @@ def _trim(x: str, places: int) -> str:
 
 
 SQL = {
+    "payload_entries": f"""WITH b AS (SELECT {SQL_KEY}, l_linenumber AS n, CAST(l_partkey AS VARCHAR) || '|x' AS p FROM lineitem)
+SELECT holding_key, CAST(0 AS BIGINT) AS place, CAST(CASE WHEN n <= 4 THEN n ELSE 77 END AS BIGINT) AS source_row_number, p AS payload FROM b WHERE n <= 6
+UNION ALL SELECT holding_key, 1, 90, 'y' FROM b WHERE n IN (3, 4) UNION ALL SELECT holding_key, 2, n, 'z' FROM b WHERE n IN (3, 4) UNION ALL SELECT holding_key, 1, n, 'w' FROM b WHERE n IN (5, 6)""",
     "parse_money_percent": f"""SELECT {SQL_KEY}, CAST(CASE WHEN l_linenumber = 1 THEN -{_V} WHEN l_linenumber IN (2, 3, 4) THEN NULL ELSE {_V} END AS DECIMAL(24,9)) AS dollar_value, l_linenumber IN (2, 4) AS dollar_failed,
   CAST(CASE WHEN l_linenumber = 1 THEN -{_V} WHEN l_linenumber = 2 THEN NULL ELSE {_V} END AS DECIMAL(24,9)) AS bracket_value, false AS bracket_failed,
   CASE WHEN l_linenumber = 5 THEN CAST(0.00000057 AS DECIMAL(30,12)) ELSE CAST(-CAST(l_extendedprice AS DECIMAL(24,2)) AS DECIMAL(30,12)) END AS spaced_value,

@@ -10,6 +10,7 @@ from holdwright.operators import seeds
 from holdwright.plans import resolver
 from holdwright.plans.binding import EXPIRY_CUTOFF, DriverTables
 from holdwright.plans.corpus import current_named
+from holdwright.plans.read_models import resolution_queue
 from holdwright.plans.oracle_base import ENTITIES, FILES, LINES, OBS, OVERRIDES, norm, with_ctes
 
 def _now():
@@ -71,6 +72,11 @@ def queue_items(spark: SparkSession, sf: str) -> DataFrame:
     return resolver.queue_items(resolver.resolve(corpus, _now())).select("holding_key", "group_kind", "group_key", "group_scope", "candidate_count", "top_candidate_score", "status")
 
 
+def queue_list(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = DriverTables(spark, sf).corpus
+    return resolution_queue(corpus, resolver.queue_items(resolver.resolve(corpus, _now()))).drop("source_file_id", "identifier_type", "identifier_value")
+
+
 def _decided(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Decisions on name items, chosen by asset class."""
     corpus = DriverTables(spark, sf).corpus
@@ -149,6 +155,7 @@ QUERIES = {
     "resolution_summary": resolution_summary,
     "queue_candidates": queue_candidates,
     "queue_items": queue_items,
+    "queue_list": queue_list,
     "queue_actions": queue_actions,
     "queue_overrides": queue_overrides,
     "seed_fill_or_conflict": seed_fill_or_conflict,
@@ -263,6 +270,7 @@ FROM (SELECT *, coalesce(CASE scope WHEN 'manager' THEN n_manager WHEN 'company'
     "queue_candidates": with_ctes(ENTITIES, query="""SELECT name_key, row_number() OVER (PARTITION BY name_key ORDER BY entity_id) AS position, entity_id, n.entity_type, canonical_name, abn, group_rows
 FROM (SELECT *, count(*) OVER (PARTITION BY name_key) AS group_rows FROM enames) n LEFT JOIN (SELECT entity_id, canonical_name, abn FROM entities) USING (entity_id) WHERE group_rows > 1"""),
     "queue_items": with_ctes(*FULL, ITEMS, query="SELECT holding_key, group_kind, group_key, group_scope, candidate_count, top_candidate_score, status FROM items"),
+    "queue_list": with_ctes(*FULL, ITEMS, query="""SELECT i.holding_key, group_kind, group_key, candidate_count, top_candidate_score, i.status, o.raw_name, o.fund_code, o.fund_name, o.option_name, o.reporting_period FROM items i JOIN obs o USING (holding_key)"""),
     "queue_actions": with_ctes(*FULL, ITEMS, DONE, query="SELECT holding_key, action, is_valid, new_status, linked_entity, reason FROM done"),
     "queue_overrides": with_ctes(*FULL, ITEMS, DONE, query="""SELECT name_key, fund_code, asset_class AS asset_class_scope, scope AS entity_type_scope, arg_max(CASE action WHEN 'accept' THEN 'force_match' WHEN 'reject' THEN 'force_no_match' ELSE 'force_new_entity' END, holding_key) AS action,
   CAST(arg_max_null(linked_entity, holding_key) AS BIGINT) AS matched_entity_id, 'reviewer' AS created_by, arg_max(reason, holding_key) AS reason FROM done WHERE is_valid GROUP BY 1, 2, 3, 4"""),

@@ -64,6 +64,13 @@ def test_every_layout_loads(loaded):
     assert rows == {"flat11": 7, "flat16_banded": 5, "flat16_totals": 4, "shared24": 6, "shared24_variant": 5, "schedule14": 9, "section14": 6, "blocks5_multi": 12, "blocks5_single": 5}
 
 
+def test_dimensions(loaded):
+    periods = loaded.facts("periods", ingest.schema_of(ingest.PERIODS)).collect()
+    assert [(str(p.reporting_period), str(p.disclosure_due), p.label) for p in periods] == [("2025-12-31", "2026-03-31", "2025-12-31")]
+    assert loaded.facts("options", ingest.schema_of(ingest.OPTIONS)).count() == 10
+    assert loaded.facts("asset_classes", ingest.schema_of(ingest.CLASSES)).count() == 12
+
+
 def test_review_events(loaded):
     events = Counter(r.review_reason for r in loaded.facts("review_queue", ingest.schema_of(ingest.REVIEW)).collect())
     # both duplicate-view reasons, and no identity event: option names confirm the declared funds
