@@ -76,20 +76,22 @@ def file_page(corpus: Corpus, number: int, size: int) -> DataFrame:
 
 
 def corpus_stats(corpus: Corpus) -> DataFrame:
-    """Home-page counters in one row."""
-    files = loaded_current(corpus.source_files).agg(
-        F.count_distinct("fund_code").alias("funds_loaded"), F.count(F.lit(1)).alias("source_files_loaded")
-    )
-    rows = loaded_current(corpus.observations).agg(F.count(F.lit(1)).alias("holding_rows_loaded"))
+    """Home-page counters in one row. Each source gives partial counters; one sum joins them."""
+    names = ["funds_loaded", "source_files_loaded", "holding_rows_loaded", "reviewed_companies", "reviewed_managers"]
+
+    def part(df: DataFrame, **counters: Column) -> DataFrame:
+        return df.agg(*[counters.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
+
+    files = part(loaded_current(corpus.source_files), funds_loaded=F.count_distinct("fund_code"), source_files_loaded=F.count(F.lit(1)))
+    rows = part(loaded_current(corpus.observations), holding_rows_loaded=F.count(F.lit(1)))
     linked = current_rows(corpus).where(F.col("entity_id").isNotNull()).select("entity_id").distinct()
     seeded = corpus.entities.where(F.col("confidence_tier") == "seeded").select("entity_id", "entity_type")
-    reviewed = linked.join(seeded, "entity_id").agg(
-        F.count_if(F.col("entity_type") == "company").alias("reviewed_companies"),
-        F.count_if(F.col("entity_type") == "manager").alias("reviewed_managers"),
+    reviewed = part(
+        linked.join(seeded, "entity_id"),
+        reviewed_companies=F.count_if(F.col("entity_type") == "company"),
+        reviewed_managers=F.count_if(F.col("entity_type") == "manager"),
     )
-    # three one-row results side by side
-    one = F.lit(1).alias("k")
-    return files.select("*", one).join(rows.select("*", one), "k").join(reviewed.select("*", one), "k").drop("k")
+    return files.unionByName(rows).unionByName(reviewed).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def period_counts(corpus: Corpus) -> DataFrame:
@@ -225,17 +227,21 @@ def explorer_facets(corpus: Corpus) -> DataFrame:
     return funds.unionByName(classes).where(F.col("facet_value") != "").groupBy("facet", "facet_value").agg(F.min("label").alias("label"))
 
 
-def _alias_matches(rows: DataFrame, corpus: Corpus, dims: Sequence[str], links: Sequence[str], entity_type: str | None) -> DataFrame:
-    """Rows that belong to an entity by name alone, counted per dimension.
-
-    Rows are counted per (name, links, dims) before the join, so copies of one
-    name never multiply with the entities that share it.
-    """
-    counted = (
+def _counted(rows: DataFrame, dims: Sequence[str], links: Sequence[str]) -> DataFrame:
+    """Rows counted per (name, links, dims): the shared input of both match branches."""
+    return (
         rows.withColumn("name_key", normalise_name(F.col("raw_name")))
         .groupBy("name_key", *[F.col(c).alias(f"link_{c}") for c in links], *dims)
         .agg(F.count(F.lit(1)).alias("rows"))
     )
+
+
+def _alias_matches(counted: DataFrame, corpus: Corpus, dims: Sequence[str], links: Sequence[str], entity_type: str | None) -> DataFrame:
+    """Rows that belong to an entity by name alone.
+
+    The counts meet the names, so copies of one name never multiply with the
+    entities that share it.
+    """
     names = entity_names(corpus)
     names = names if entity_type is None else names.where(F.col("entity_type") == entity_type)
     linked = F.lit(False)
@@ -249,13 +255,14 @@ def entity_slices(corpus: Corpus, dims: Sequence[str], links: Sequence[str] = LI
 
     Every holding counts once per entity: the link columns are de-duplicated per
     row, and the name branch leaves out entities the row is already linked to.
+    Both branches read the same counts, whose exchange Spark reuses.
     """
-    rows = current_named(corpus)
-    ids = F.array_distinct(F.array_compact(F.array(*links)))
-    linked = rows.select(F.explode(ids).alias("entity_id"), *dims).groupBy("entity_id", *dims).agg(F.count(F.lit(1)).alias("rows"))
+    counted = _counted(current_named(corpus), dims, links)
+    ids = F.array_distinct(F.array_compact(F.array(*[f"link_{c}" for c in links])))
+    linked = counted.select(F.explode(ids).alias("entity_id"), *dims, "rows").groupBy("entity_id", *dims).agg(F.sum("rows").alias("rows"))
     if entity_type is not None:
         linked = linked.join(corpus.entities.where(F.col("entity_type") == entity_type).select("entity_id"), "entity_id", "left_semi")
-    return linked.unionByName(_alias_matches(rows, corpus, dims, links, entity_type))
+    return linked.unionByName(_alias_matches(counted, corpus, dims, links, entity_type))
 
 
 def entity_fund_periods(corpus: Corpus) -> DataFrame:
@@ -400,7 +407,7 @@ def manager_roles(corpus: Corpus) -> DataFrame:
     # rows matched by name alone are listed as direct; their kind ignores links
     kind = (F.col("ownership_pct").isNotNull() | (F.col("disclosure_completeness") == "fully_disclosed")).alias("owned")
     named = current_named(corpus).select("*", kind)
-    by_name = _alias_matches(named, corpus, ["fund_code", "owned"], LINKS, "manager").select(
+    by_name = _alias_matches(_counted(named, ["fund_code", "owned"], LINKS), corpus, ["fund_code", "owned"], LINKS, "manager").select(
         "entity_id", "fund_code", "rows", F.lit(False).alias("manager"), F.lit(False).alias("issuer"), F.lit(True).alias("direct"),
         F.col("owned").alias("owner"), F.lit(None).cast("decimal(34,9)").alias("manager_value"),
     )

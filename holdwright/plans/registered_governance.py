@@ -15,6 +15,7 @@ from holdwright.operators.skew import fill_forward
 from holdwright.plans.binding import CLASS_OF_TYPE, DriverTables
 from holdwright.plans.corpus import with_status
 from holdwright.plans.oracle_base import FILES, LINES, OBS, half, with_ctes
+from holdwright.session import written_once
 
 LAYOUTS = ["automobile", "building", "furniture", "household", "machinery"]
 
@@ -87,8 +88,8 @@ def _taxonomy(t: DriverTables) -> DataFrame:
     )
 
 
-def _rows_for_taxonomy(t: DriverTables) -> DataFrame:
-    return t.observations.select(
+def _rows_for_taxonomy(observations: DataFrame) -> DataFrame:
+    return observations.select(
         "source_file_id", "holding_key", "source_row_number", F.col("layout_key").alias("mapping_version_id"), "source_asset_class_raw", "source_subclass_raw",
         F.lit(None).cast("string").alias("source_section_raw"), "is_aggregate", "asset_class_code", "disclosure_completeness",
     )
@@ -96,14 +97,14 @@ def _rows_for_taxonomy(t: DriverTables) -> DataFrame:
 
 def taxonomy_validate(spark: SparkSession, sf: str) -> DataFrame:
     t = DriverTables(spark, sf)
-    issues = governance.taxonomy_issues(_rows_for_taxonomy(t), _taxonomy(t))
+    issues = governance.taxonomy_issues(_rows_for_taxonomy(t.observations), _taxonomy(t))
     out = governance.reported_issues(issues, "source_file_id", [F.asc("source_row_number"), F.asc("holding_key")])
     return out.select("source_file_id", F.col("rank").cast("bigint").alias("rank"), "holding_key", "reason", "expected", "actual")
 
 
-def _profiles(t: DriverTables) -> DataFrame:
+def _profiles(observations: DataFrame) -> DataFrame:
     """Sorted label sets of each file; their size is bounded by the label lists."""
-    rows = t.observations.groupBy("source_file_id", "layout_key").agg(
+    rows = observations.groupBy("source_file_id", "layout_key").agg(
         F.array_sort(F.collect_set("source_asset_class_raw")).alias("observed_asset_classes"),
         F.array_sort(F.collect_set("source_subclass_raw")).alias("observed_internal_external"),
         F.bool_or("is_aggregate").alias("has_total"),
@@ -134,7 +135,7 @@ COMPARE = {"always": ["asset_classes", "internal_external"], "optional": ["optio
 
 def drift_compare(spark: SparkSession, sf: str) -> DataFrame:
     t = DriverTables(spark, sf)
-    near = governance.nearest_version(governance.drift_candidates(_profiles(t), _versions(t), **COMPARE))
+    near = governance.nearest_version(governance.drift_candidates(_profiles(t.observations), _versions(t), **COMPARE))
     return near.select("source_file_id", "mapping_version_id", F.concat_ws(",", "drift").alias("drift"), F.col("drift_score").cast("bigint").alias("drift_score"))
 
 
@@ -142,8 +143,9 @@ def mapping_decision(spark: SparkSession, sf: str) -> DataFrame:
     """First clean version or best near miss of every file."""
     t = DriverTables(spark, sf)
     taxonomy = _taxonomy(t).withColumnRenamed("mapping_version_id", "layout_key").join(_versions(t).select("layout_key", "mapping_version_id"), "layout_key")
-    rows = _rows_for_taxonomy(t).drop("mapping_version_id")
-    out = governance.enforce(_profiles(t), _versions(t), rows, taxonomy, **COMPARE)
+    seen = written_once(t.observations.select("source_file_id", "layout_key", "holding_key", "source_row_number", "source_asset_class_raw", "source_subclass_raw", "is_aggregate", "asset_class_code", "disclosure_completeness"))
+    rows = _rows_for_taxonomy(seen).drop("mapping_version_id")
+    out = governance.enforce(_profiles(seen), _versions(t), rows, taxonomy, **COMPARE)
     return out.select("source_file_id", "mapping_version_id", "score", "review_reason", "ingest_status")
 
 

@@ -10,8 +10,9 @@ from holdwright.operators import seeds
 from holdwright.plans import resolver
 from holdwright.plans.binding import EXPIRY_CUTOFF, DriverTables
 from holdwright.plans.corpus import current_named
-from holdwright.plans.read_models import resolution_queue
 from holdwright.plans.oracle_base import ENTITIES, FILES, LINES, OBS, OVERRIDES, norm, with_ctes
+from holdwright.plans.read_models import resolution_queue
+from holdwright.session import written_once
 
 def _now():
     return F.lit(EXPIRY_CUTOFF).cast("date")
@@ -46,7 +47,8 @@ def exact_name_match(spark: SparkSession, sf: str) -> DataFrame:
 
 def override_pick(spark: SparkSession, sf: str) -> DataFrame:
     corpus = DriverTables(spark, sf).corpus
-    rows = resolver.with_override(resolver.keyed_holdings(corpus.observations), corpus, _now())
+    keyed = written_once(resolver.keyed_holdings(corpus.observations))
+    rows = resolver.with_override(keyed, resolver.picked_overrides(keyed, corpus, _now()))
     picked = rows.where(F.col("override_id").isNotNull())
     clear = ~F.col("override_conflict")
     return picked.select("holding_key", F.col("specificity").cast("bigint").alias("specificity"), F.col("ties").alias("ties"), F.when(clear, F.col("override_id")).alias("override_id"),
@@ -80,7 +82,7 @@ def queue_list(spark: SparkSession, sf: str) -> DataFrame:
 def _decided(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Decisions on name items, chosen by asset class."""
     corpus = DriverTables(spark, sf).corpus
-    items = resolver.queue_items(resolver.resolve(corpus, _now())).where(F.col("group_kind") == "NAME")
+    items = written_once(resolver.queue_items(resolver.resolve(corpus, _now())).where(F.col("group_kind") == "NAME"))
     members = resolver.name_members(corpus)
     first = members.groupBy("name_key").agg(F.min("entity_id").alias("first_entity"))
     action = F.when(F.col("asset_class").isin("STANDARD", "MEDIUM"), "accept").when(F.col("asset_class") == "ECONOMY", "reject").when(F.col("asset_class") == "PROMO", "create_new")

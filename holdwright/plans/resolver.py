@@ -9,6 +9,8 @@ are rows of `candidate_rows`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from holdwright.functions.identifiers import business_number, registry_type, reg
 from holdwright.functions.text import normalise_name
 from holdwright.operators.skew import ordered_positions, skewed_lookup
 from holdwright.plans.corpus import Corpus, entity_names
-from holdwright.session import cut_lineage
+from holdwright.session import written_once
 
 
 # --- candidates --------------------------------------------------------------
@@ -124,8 +126,8 @@ def picked_overrides(holdings: DataFrame, corpus: Corpus, now: Column) -> DataFr
     return ranked.groupBy(*SCOPE_KEYS).agg(best.alias("best")).select(*SCOPE_KEYS, "best.*")
 
 
-def with_override(holdings: DataFrame, corpus: Corpus, now: Column) -> DataFrame:
-    picks = picked_overrides(holdings, corpus, now)
+def with_override(holdings: DataFrame, picks: DataFrame, how: str = "left") -> DataFrame:
+    """Holdings with the override picked for their scope; `inner` keeps only those with one."""
     nullable = lambda c: F.coalesce(F.col(c), F.lit("\u0000"))
     keyed = {k: f"k_{k}" for k in SCOPE_KEYS}
     left, right = holdings, picks
@@ -133,7 +135,10 @@ def with_override(holdings: DataFrame, corpus: Corpus, now: Column) -> DataFrame
         left = left.withColumn(alias, F.col(k) if k == "name_key" else nullable(k))
         right = right.withColumn(alias, F.col(k) if k == "name_key" else nullable(k))
     right = right.drop(*SCOPE_KEYS)
-    joined = skewed_lookup(left, right, list(keyed.values()), ["holding_key"]).drop(*keyed.values())
+    if how == "left":
+        joined = skewed_lookup(left, right, list(keyed.values()), ["holding_key"]).drop(*keyed.values())
+    else:
+        joined = left.join(right, list(keyed.values())).drop(*keyed.values())
     needs_target = F.col("action").isin("force_match", "redirect_to_parent") & F.col("target_entity").isNull()
     conflict = F.col("override_id").isNotNull() & ((F.col("ties") > 1) | F.coalesce("type_conflict", F.lit(False)) | needs_target)
     return joined.withColumn("override_conflict", F.coalesce(conflict, F.lit(False)))
@@ -157,31 +162,34 @@ def created_entities(candidates: DataFrame) -> DataFrame:
 # --- the cascade -------------------------------------------------------------
 
 
-def first_stage(corpus: Corpus, observations: DataFrame, now: Column, force_rerun: bool = False) -> DataFrame:
-    """Identifier and override evidence of every holding."""
-    rows = keyed_holdings(observations)
+def first_stage(rows: DataFrame, picks: DataFrame, corpus: Corpus, force_rerun: bool = False, how: str = "left") -> DataFrame:
+    """Override and identifier evidence of keyed holdings."""
+    rows = with_override(rows, picks, how)
     rows = rows.withColumn("prelinked", F.lit(False) if force_rerun else F.col("stored_entity").isNotNull())
     rows = skewed_lookup(rows, identifier_candidates(corpus), ["id_kind", "id_value"], ["holding_key"])
     hits = F.coalesce("id_candidates", F.lit(0))
     rows = rows.withColumn("id_hits", hits).withColumn("id_matched", ~F.col("prelinked") & (hits == 1))
-    rows = with_override(rows, corpus, now)
     applies = ~F.col("prelinked") & ~F.col("id_matched") & F.col("override_id").isNotNull() & ~F.col("override_conflict")
     return rows.withColumn("override_applies", applies)
 
 
 def resolve(
     corpus: Corpus, now: Column, observations: DataFrame | None = None, force_rerun: bool = False, clear_stale: bool = False,
-    cut: bool = False,
+    keep: Callable[[DataFrame], DataFrame] = written_once,
 ) -> DataFrame:
     """Outcome and entity of every holding.
 
     Overrides act first and names second, so an entity created by an override
-    is a name candidate for every holding whatever the row order. With `cut`
-    the first stage is checkpointed, since both passes read it.
+    is a name candidate for every holding whatever the row order. The keyed
+    holdings and the picked overrides are read several times; `keep` decides
+    how they are held (by default as written tables).
     """
-    rows = first_stage(corpus, corpus.observations if observations is None else observations, now, force_rerun)
-    rows = cut_lineage(rows) if cut else rows
-    names = name_candidates(name_members(corpus, created_entities(rows)))
+    keyed = keep(keyed_holdings(corpus.observations if observations is None else observations))
+    picks = keep(picked_overrides(keyed, corpus, now))
+    creating = picks.where((F.col("action") == "force_new_entity") & F.col("target_entity").isNull())
+    created = created_entities(first_stage(keyed, creating, corpus, force_rerun, how="inner"))
+    rows = first_stage(keyed, picks, corpus, force_rerun)
+    names = name_candidates(name_members(corpus, created))
     rows = skewed_lookup(rows, names, ["name_key"], ["holding_key"])
     scoped = F.when(F.col("scope") == "manager", F.col("name_manager")).when(F.col("scope") == "company", F.col("name_company")).otherwise(F.col("name_all"))
     scoped_entity = F.when(F.col("scope") == "manager", F.col("manager_entity")).when(F.col("scope") == "company", F.col("company_entity")).otherwise(F.col("any_entity"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,22 +30,26 @@ def local_session(app: str = "holdwright", cores: str = "*", shuffle_partitions:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the cluster's own setting, else a scratch one.
+    """Shared folder for intermediate tables: the cluster's own setting, else a scratch one.
 
     The fallback exists only for single-machine runs, where driver and
-    executors share the disk.
+    executors share the disk; it is made once per application.
     """
-    configured = spark.conf.get(CHECKPOINT_KEY, None)
+    configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if configured:
-        return configured
+        return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="holdwright-checkpoint-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="holdwright-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a result that several later jobs read."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def written_once(df: DataFrame) -> DataFrame:
+    """A result that several later steps read, written as a table and read back.
+
+    Later steps scan the table instead of repeating the work, and a lost
+    executor costs only its own tasks.
+    """
+    place = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
