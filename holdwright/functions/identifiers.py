@@ -53,10 +53,6 @@ def json_digest(value: Column) -> Column:
     return F.sha2(F.to_json(value), 256)
 
 
-def cells_json(cells: Column) -> Column:
-    return F.to_json(cells)
-
-
 def stable_id(*parts: Column) -> Column:
     """Positive BIGINT key derived from the parts, the same on every run."""
     digest = F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)

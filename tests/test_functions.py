@@ -103,3 +103,32 @@ def test_known_fingerprint_of_the_schedule_layout(spark):
     a = "array<string>"
     df = spark.createDataFrame([row], f"layout_key string, first_line_digest string, p_asset_classes {a}, p_internal_external {a}, p_section_labels {a}, p_tables {a}, p_filters {a}, p_name_types {a}, p_option_names {a}, p_option_codes {a}, p_header_rows {a}")
     assert df.select(ingest._fingerprint()).first()[0] == "0221ce01b8fb64d5b1ef06efaf5b70d8ffaf35cb2e0e163c5c0f4a54b4523139"
+
+
+def test_small_governance_helpers(spark):
+    from holdwright.operators import governance, seeds
+
+    row = spark.range(1).select(
+        F.concat_ws(",", governance.missing_keys(["a", "b", "c"], F.array(F.lit("b")))), seeds.register_url(F.lit("123 456 789"), "https://register.example/?acn=")
+    ).first()
+    assert tuple(row) == ("a,c", "https://register.example/?acn=123456789")
+    stored = spark.createDataFrame([("v1",)], "mapping_version_id string")
+    approved = spark.createDataFrame([("v1", 1), ("v2", 2)], "mapping_version_id string, n int")
+    assert [r.mapping_version_id for r in governance.seed_versions(stored, approved).collect()] == ["v2"]
+
+
+def test_payload_shapes(spark):
+    from holdwright.functions.payload import tagged_entries
+
+    shapes = ['["a","b"]', '[["a"],["b"],["c"]]', '[{"source_row_number":4,"payload":["a"]},{"payload":["b"]}]', "[]", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(shapes)], "i int, s string")
+    got = [[(e.source_row_number, e.payload) for e in r[0]] for r in df.orderBy("i").select(tagged_entries(F.col("s"), F.lit(2), F.array(F.lit(9)))).collect()]
+    assert got == [[(2, ["a", "b"])], [(2, ["a"]), (9, ["b"]), (2, ["c"])], [(4, ["a"]), (2, ["b"])], [], []]
+
+
+def test_intermediate_tables_go_to_the_named_folder(spark, tmp_path):
+    from holdwright.session import written_once
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    assert written_once(spark.range(5)).count() == 5
+    assert len(list(tmp_path.rglob("table-*"))) == 1
