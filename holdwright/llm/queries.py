@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdwright.llm import bpe
+from holdwright.llm import bpe, sql, substrings
 from holdwright.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -16,8 +16,15 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.dedup(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
+    "op9_substrings": op9_substrings,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_substrings": sql.OP9,
+}
