@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdwright.llm import bpe, sql, substrings
+from holdwright.llm import bpe, contamination, sql, substrings
 from holdwright.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -20,9 +20,14 @@ def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.dedup(table(spark, folder, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_substrings": op9_substrings,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {
