@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdwright.llm import bpe, contamination, sql, substrings
+from holdwright.llm import bpe, contamination, quality, sql, substrings
 from holdwright.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -25,6 +29,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_quality": op6_quality,
     "op8_bpe": op8_bpe,
     "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
