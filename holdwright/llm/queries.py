@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from holdwright.llm import bpe, contamination, quality, sql, substrings
+from holdwright.llm import bpe, contamination, fingerprints, quality, sql, substrings
 from holdwright.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -16,6 +17,11 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    marked = fingerprints.edited_fingerprints(table(spark, folder, "documents"))
+    return fingerprints.near_counts(marked, F.col("doc_id") % 100 == 0)
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -30,6 +36,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
+    "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
     "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
