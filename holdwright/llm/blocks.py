@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdwright.llm.kernels import bucket_of, strings
+from holdwright.llm.kernels import bucket_of
 
 RANGE_BITS = 12
 ENTRY, MARK, TEXT = 0, 1, 2
@@ -67,49 +67,47 @@ def marks(buckets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, int
             yield int(buckets[a]), MARK, 0, b"", keys[a:b].tobytes()
 
 
-def text_rows(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All texts as compressed packs, one per (task slice, bucket); null counts as empty."""
+def row_packs(rows: DataFrame, buckets: int, key: str) -> DataFrame:
+    """All rows as compressed packs, one per (task slice, bucket); rows with a null key are left out."""
+    place = rows.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        held: list[tuple[np.ndarray, pa.Array]] = []
+        held: list[pa.RecordBatch] = []
         size = 0
 
         def flush():
-            ids = np.concatenate([i for i, _ in held])
-            body = pa.concat_arrays([t for _, t in held])
+            body = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            ids = body.column(place).to_numpy(zero_copy_only=False).astype(np.int64)
             part = bucket_of(ids, buckets)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order])) + 1
-            rows = []
+            out = []
             for at in np.split(order, cuts):
-                piece = body.take(pa.array(at))
                 sink = pa.BufferOutputStream()
-                chunk = pa.RecordBatch.from_arrays([piece], names=["text"])
-                with pa.ipc.new_stream(sink, chunk.schema) as out:
-                    out.write_batch(chunk)
-                rows.append((int(part[at[0]]), TEXT, 0, ids[at].tobytes(), squeeze.compress(sink.getvalue().to_pybytes())))
-            return batch(rows)
+                chunk = body.take(pa.array(at))
+                with pa.ipc.new_stream(sink, chunk.schema) as stream:
+                    stream.write_batch(chunk)
+                out.append((int(part[at[0]]), TEXT, 0, ids[at].tobytes(), squeeze.compress(sink.getvalue().to_pybytes())))
+            return batch(out)
 
         for b in batches:
-            texts = strings(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            step = max(1, int(len(ids) * 8_000_000 / max(1, texts.nbytes)))
-            for at in range(0, len(ids), step):
-                held.append((ids[at : at + step], texts.slice(at, step)))
-                size += int(held[-1][1].nbytes)
+            step = max(1, int(len(b) * 8_000_000 / max(1, b.nbytes)))
+            for at in range(0, len(b), step):
+                held.append(b.slice(at, step))
+                size += int(held[-1].nbytes)
                 if size >= 16_000_000:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select(F.col(key).cast("long"), text).where(F.col(key).isNotNull()).mapInArrow(run, SCHEMA)
+    return rows.where(F.col(key).isNotNull()).mapInArrow(run, SCHEMA)
 
 
-def open_text(body: bytes) -> pa.Array:
+def open_pack(body: bytes) -> pa.RecordBatch:
     with pa.ipc.open_stream(zstandard.decompress(body, max_output_size=2**31 - 1)) as source:
-        return strings(source.read_all().column(0))
+        return source.read_next_batch()
 
 
 def by_range(rows: DataFrame, reduce: Callable, width: int = 8) -> DataFrame:
@@ -143,7 +141,7 @@ def by_range(rows: DataFrame, reduce: Callable, width: int = 8) -> DataFrame:
 
 
 def by_bucket(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """Bring each bucket's marks and texts together: `work(sorted marks, ids, texts)` yields record batches."""
+    """Bring each bucket's marks and rows together: `work(sorted marks, ids, rows)` yields record batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, keys = None, []
@@ -157,7 +155,7 @@ def by_bucket(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
                     continue
                 if known is None:
                     known = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-                yield from work(known, np.frombuffer(row["ids"], np.int64), open_text(row["keys"]))
+                yield from work(known, np.frombuffer(row["ids"], np.int64), open_pack(row["keys"]))
 
     return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
 

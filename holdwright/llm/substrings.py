@@ -150,8 +150,8 @@ def repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
         several[:-1] |= ~head[1:]
         return blocks.marks(bucket_of(ids[several], buckets), mark(hashes[several], ids[several]))
 
-    def windows(known: np.ndarray, ids: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        for at, piece in slices(texts):
+    def windows(known: np.ndarray, ids: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at, piece in slices(strings(rows.column(1))):
             words = words_of(piece)
             hashes = words.hashes()
             starts = gram_starts(words, window)
@@ -166,7 +166,7 @@ def repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
 
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
     shared = blocks.by_range(source.mapInArrow(anchors, blocks.SCHEMA), shared_anchors)
-    around = blocks.by_bucket(shared.unionByName(blocks.text_rows(source, buckets, "key")), windows, blocks.SCHEMA)
+    around = blocks.by_bucket(shared.unionByName(blocks.row_packs(source, buckets, "key")), windows, blocks.SCHEMA)
     return blocks.by_range(around, earlier), buckets
 
 
@@ -181,8 +181,8 @@ def dedup(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "t
     found, buckets = repeats(docs, window, key, text)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
 
-    def cut(known: np.ndarray, ids: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        for at, piece in slices(texts):
+    def cut(known: np.ndarray, ids: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at, piece in slices(strings(rows.column(1))):
             words = words_of(piece)
             owner = words.document()
             hit = np.zeros(len(owner), bool)
@@ -201,7 +201,7 @@ def dedup(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays(columns, names=[key, "n_words", "n_removed", *(["kept", "spans"] if full else ["kept_sha256"])])
 
     tail = "kept string, spans array<struct<first: bigint, end: bigint>>" if full else "kept_sha256 string"
-    return blocks.by_bucket(found.unionByName(blocks.text_rows(source, buckets, "key")), cut, f"`{key}` bigint, n_words bigint, n_removed bigint, {tail}")
+    return blocks.by_bucket(found.unionByName(blocks.row_packs(source, buckets, "key")), cut, f"`{key}` bigint, n_words bigint, n_removed bigint, {tail}")
 
 
 def _spans(gone: np.ndarray, words: Words) -> pa.Array:
