@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdwright.llm import bpe, contamination, fingerprints, quality, sql, substrings
+from holdwright.llm import bpe, chat, contamination, fingerprints, jaccard, quality, sql, substrings
 from holdwright.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_components(table(spark, folder, "documents"))
+
+
+def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(more)))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -35,6 +46,8 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_jaccard": op4_jaccard,
+    "op5_chat": op5_chat,
     "op6_quality": op6_quality,
     "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
@@ -43,5 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_jaccard": sql.OP4,
+    "op5_chat": sql.OP5,
     "op9_substrings": sql.OP9,
 }

@@ -14,3 +14,33 @@ kept AS (SELECT d.doc_id, len(d.w) AS n, CASE WHEN g IS NULL THEN d.w ELSE
     FROM d LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n AS n_words, n - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
+
+OP4 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+t AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.v)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM s JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = s.doc_id
+"""
+
+_ESCAPE = r"regexp_replace({c}, '(\[|<)(\\*)(/?INST\]|/?s>|</?SYS>>|/?ROLE\]|ROLE=)', '\1\2\\\3', 'g')"
+_PATTERN = r"(\[|<)(/?INST\]|/?s>|</?SYS>>|/?ROLE\]|ROLE=)|(\[|<)\\+(/?INST\]|/?s>|</?SYS>>|/?ROLE\]|ROLE=)"
+OP5 = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, {_ESCAPE.format(c="text")} AS t, {_ESCAPE.format(c="role")} AS r FROM c),
+f AS (SELECT *, CASE role WHEN 'system' THEN length(t) + 15 WHEN 'user' THEN length(t) + 15 WHEN 'assistant' THEN length(t) + 7
+    ELSE length(t) + length(r) + 19 END AS n FROM e)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(n) AS BIGINT) AS formatted_chars,
+    bool_or(regexp_matches(text, '{_PATTERN}')) AS escaped,
+    true AS identical
+FROM f GROUP BY conv_id
+"""
