@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdwright.llm import bpe, chat, contamination, fingerprints, jaccard, quality, sql, substrings
+from holdwright.llm import bpe, chat, contamination, fingerprints, jaccard, quality, sql, substrings, warc
 from holdwright.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read_back(warc.archive_pages(table(spark, folder, "pages")))
+
+
 def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_components(table(spark, folder, "documents"))
 
@@ -46,6 +50,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op4_jaccard": op4_jaccard,
     "op5_chat": op5_chat,
     "op6_quality": op6_quality,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_warc": sql.OP1,
     "op4_jaccard": sql.OP4,
     "op5_chat": sql.OP5,
     "op9_substrings": sql.OP9,

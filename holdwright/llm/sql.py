@@ -44,3 +44,15 @@ SELECT conv_id, count(*) AS n_turns,
     true AS identical
 FROM f GROUP BY conv_id
 """
+
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP1 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x FROM p),
+r AS (SELECT page_id, n, array_to_string(flatten(list_transform(range(8), lambda j:
+    list_transform([15, 10, 5, 0], lambda s: substr('{_ALPHABET}', 1 + CAST((CAST('0x' || substr(x, CAST(1 + 5 * j AS INTEGER), 5) AS INTEGER) >> CAST(s AS INTEGER)) & 31 AS INTEGER), 1)))), '') AS d FROM q),
+m AS (SELECT d, max(page_id) AS top FROM r GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < top THEN top END AS refers_to
+FROM r JOIN m USING (d)
+"""
