@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdwright.llm import bpe, chat, contamination, fingerprints, jaccard, quality, sql, substrings, warc
+from holdwright.llm import bpe, chat, contamination, fingerprints, jaccard, lines, quality, sql, substrings, warc
 from holdwright.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -17,6 +17,10 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_back(warc.archive_pages(table(spark, folder, "pages")))
 
 
+def op3_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.removed_lines(table(spark, folder, "documents"))
+
+
 def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_components(table(spark, folder, "documents"))
 
@@ -51,6 +55,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_lines": op3_lines,
     "op4_jaccard": op4_jaccard,
     "op5_chat": op5_chat,
     "op6_quality": op6_quality,

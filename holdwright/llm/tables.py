@@ -27,3 +27,8 @@ def text_buckets(docs: DataFrame, text: str = "text", per_bucket: int = TEXT_BUC
     """Number of buckets of about `per_bucket` characters that hold all texts."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return int(total // per_bucket) + 1
+
+
+def checked_broadcast(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """The table with a broadcast hint if it has at most `most_rows` narrow rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= most_rows else df
