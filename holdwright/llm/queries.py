@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdwright.llm import bpe, chat, contamination, fingerprints, jaccard, lines, quality, sql, substrings, warc
+from holdwright.llm import bpe, chat, contamination, fingerprints, jaccard, lines, quality, sql, substrings, surrogates, warc
 from holdwright.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -17,6 +17,11 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_back(warc.archive_pages(table(spark, folder, "pages")))
 
 
+def op2_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, "a key that the owner of the corpus keeps")
+
+
 def op3_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.removed_lines(table(spark, folder, "documents"))
 
@@ -55,6 +60,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_surrogates": op2_surrogates,
     "op3_lines": op3_lines,
     "op4_jaccard": op4_jaccard,
     "op5_chat": op5_chat,
