@@ -68,7 +68,7 @@ def class_keys(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     """Two 64-bit sums that tell sets apart."""
     out = []
     for seed in (1, 2):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values + np.uint64(seed) * PRIME), dtype=np.uint64)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values + np.uint64(seed * int(PRIME) % 2**64)), dtype=np.uint64)])
         out.append((sums[first[1:]] - sums[first[:-1]]).view(np.int64))
     return out[0], out[1]
 
@@ -323,8 +323,8 @@ def link_components(docs: DataFrame, percent: int = 75, size: int = 5, key: str
     if between is not None and not between.isEmpty():
         of = groups.select("id", "group")
         other = of.select(F.col("id").alias("other"), F.col("group").alias("other_group"))
-        joined = components(between.join(of, "id").join(other, "other"), "group", "other_group")
-        label = label.join(joined, F.col("component") == F.col("vertex"), "left").select("rep", F.coalesce(joined["component"], label["component"]).alias("component"))
+        joined = components(between.join(of, "id").join(other, "other"), "group", "other_group").select(F.col("vertex").alias("component"), F.col("component").alias("whole"))
+        label = label.join(joined, "component", "left").select("rep", F.coalesce("whole", "component").alias("component"))
     found = stored(classes.join(label, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component")))
     out = skewed_lookup(about, found, ["c1", "c2"], ["id"])
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
