@@ -34,13 +34,13 @@ def test_slugs_and_scopes(spark):
 @pytest.mark.parametrize(
     ("style", "raw", "value", "failed"),
     [
-        (numbers.NumberStyle(("",), commas=False), "5.7e-07", Decimal("0.00000057").quantize(Decimal("0.000000001")), False),
-        (numbers.NumberStyle(("",), commas=False), "1,000", None, True),
-        (numbers.NumberStyle(("", "-"), dollar="required"), "-$1,234.50", Decimal("-1234.5"), False),
-        (numbers.NumberStyle(("", "-"), dollar="required"), "1,234.50", None, True),
-        (numbers.NumberStyle(("", "-"), dollar="optional", inner_spaces=True), "  - 24 432.69", Decimal("-24432.69"), False),
-        (numbers.NumberStyle(("", "n/a", "nan"), parentheses=True), "(1,234)", Decimal("-1234"), False),
-        (numbers.NumberStyle(("", "n/a", "nan"), parentheses=True), "(1,234", None, True),
+        (numbers.NumberStyle(("",), commas=False), "3.1e-06", Decimal("0.0000031").quantize(Decimal("0.000000001")), False),
+        (numbers.NumberStyle(("",), commas=False), "7,300", None, True),
+        (numbers.NumberStyle(("", "-"), dollar="required"), "-$8,052.75", Decimal("-8052.75"), False),
+        (numbers.NumberStyle(("", "-"), dollar="required"), "8,052.75", None, True),
+        (numbers.NumberStyle(("", "-"), dollar="optional", inner_spaces=True), "  - 6 071.25", Decimal("-6071.25"), False),
+        (numbers.NumberStyle(("", "n/a", "nan"), parentheses=True), "(5,608)", Decimal("-5608"), False),
+        (numbers.NumberStyle(("", "n/a", "nan"), parentheses=True), "(5,608", None, True),
         (numbers.NumberStyle(("", "n/a", "nan")), "NaN", None, False),
         (numbers.NumberStyle(("",)), "-", None, True),
     ],
@@ -54,10 +54,10 @@ def test_numbers(spark, style, raw, value, failed):
 @pytest.mark.parametrize(
     ("style", "raw", "value", "failed"),
     [
-        (numbers.PercentStyle(("",), low=0, high=1), "40.40%", Decimal("0.404"), False),
-        (numbers.PercentStyle(("",), low=0, high=1), "140%", Decimal("1.4"), True),
-        (numbers.PercentStyle(("",)), "40", None, True),
-        (numbers.PercentStyle(("", "-"), plus=True), "+1.2%", Decimal("0.012"), False),
+        (numbers.PercentStyle(("",), low=0, high=1), "62.50%", Decimal("0.625"), False),
+        (numbers.PercentStyle(("",), low=0, high=1), "175%", Decimal("1.75"), True),
+        (numbers.PercentStyle(("",)), "85", None, True),
+        (numbers.PercentStyle(("", "-"), plus=True), "+3.5%", Decimal("0.035"), False),
         (numbers.PercentStyle(("",), sign="optional"), "1.5 %", Decimal("0.015"), False),
         (numbers.PercentStyle(("",), sign="points", low=-1, high=1), "12.62", Decimal("0.1262"), False),
         (numbers.PercentStyle(("",), sign="points", low=-1, high=1), "-101", Decimal("-1.01"), True),
