@@ -21,7 +21,7 @@ RANGE_BITS = 12
 ENTRY, MARK, TEXT = 0, 1, 2
 SCHEMA = "part int, kind int, base long, ids binary, keys binary"
 NAMES = ["part", "kind", "base", "ids", "keys"]
-SLICE_ENTRIES = 2_000_000
+SLICE_ENTRIES = 1_000_000
 
 
 def batch(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:

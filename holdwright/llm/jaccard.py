@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from holdwright.llm import blocks
 from holdwright.llm.components import components
-from holdwright.llm.kernels import PRIME, bucket_of, grams, mix, slices, strings, words_of
+from holdwright.llm.kernels import PRIME, bucket_of, grams, list_slices, mix, slices, strings, words_of
 from holdwright.llm.tables import stored, text_buckets
 from holdwright.operators.skew import skewed_lookup
 
@@ -220,12 +220,10 @@ def least_shingles(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
-            tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            first = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])[:-1]
-            keys = np.stack([np.minimum.reduceat(mix(tokens ^ np.uint64(j * 0x9E3779B97F4A7C15 % 2**64)), first) for j in range(ORDERS)], 1) if len(b) else np.zeros((0, ORDERS), np.uint64)
-            column = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), ORDERS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), column], names=["id", "keys"])
+            for piece, tokens, first in list_slices(b, 1):
+                keys = np.stack([np.minimum.reduceat(mix(tokens ^ np.uint64(j * int(PRIME) % 2**64)), first[:-1]) for j in range(ORDERS)], 1)
+                column = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), ORDERS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([piece.column(0), column], names=["id", "keys"])
 
     return sets.select("id", "tokens").mapInArrow(run, "id bigint, keys array<bigint>")
 
@@ -255,13 +253,12 @@ def open_groups(labelled: DataFrame, percent: int) -> DataFrame:
             return blocks.batch(list(blocks.entries(hashes[fresh], groups[fresh])))
 
         for b in batches:
-            lists = b.column(1)
-            counts = np.diff(lists.offsets.to_numpy())
-            held.append((lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(b.column(0).to_numpy(zero_copy_only=False), counts)))
-            size += len(held[-1][0])
-            if size >= blocks.SLICE_ENTRIES:
-                yield flush()
-                held, size = [], 0
+            for piece, tokens, first in list_slices(b, 1):
+                held.append((tokens, np.repeat(piece.column(0).to_numpy(zero_copy_only=False), np.diff(first))))
+                size += len(tokens)
+                if size >= blocks.SLICE_ENTRIES:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 

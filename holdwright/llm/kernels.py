@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+SLICE_VALUES = 250_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -97,6 +98,18 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa
         at = to
 
 
+def list_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_VALUES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, values, first value of each row) pieces of about `limit` list values as unsigned integers."""
+    offsets = batch.column(column).offsets.to_numpy().astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        piece = batch.slice(at, to - at)
+        values = piece.column(column).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        yield piece, values, offsets[at : to + 1] - offsets[at]
+        at = to
+
+
 def words_of(column: pa.Array, lower: bool = False) -> Words:
     data, offsets = raw(column)
     if lower:
