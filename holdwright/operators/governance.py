@@ -100,7 +100,7 @@ def enforce(profiles: DataFrame, versions: DataFrame, rows: DataFrame, taxonomy:
     issues = taxonomy_issues(keys.join(clean, "source_file_id"), taxonomy)
     counted = issues.groupBy("source_file_id", "mapping_version_id").agg(F.sum("copies").alias("mismatches"))
     judged = candidates.join(counted, ["source_file_id", "mapping_version_id"], "left").withColumn("mismatches", F.coalesce("mismatches", F.lit(0)))
-    taxonomy_score = F.lit(1) + F.least(F.col("mismatches"), F.lit(vocab.TAXONOMY_REPORT_LIMIT))
+    taxonomy_score = F.lit(1) + F.col("mismatches")
     stage = F.when(F.col("drift_score") > 0, 2).when(F.col("mismatches") > 0, 1).otherwise(0)
     score = F.when(stage == 2, F.col("drift_score")).when(stage == 1, taxonomy_score).otherwise(0)
     judged = judged.withColumn("stage", stage).withColumn("score", score.cast("bigint"))

@@ -13,10 +13,17 @@ from holdwright.operators.skew import ordered_positions
 SLICE = ["fund_code", "option_code", "reporting_period", "layout_key"]
 
 
+def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row of each key: the first in `order`, ties broken by the other columns, so every run keeps the same one."""
+    rest = [c for c, t in rows.dtypes if c not in {*keys, *order} and "map<" not in t]
+    place = F.struct(*order, *rest) if order or rest else F.lit(0)
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), place).alias("first_row")).select("first_row.*")
+
+
 def new_files(arrived: DataFrame, stored: DataFrame) -> DataFrame:
     """Arrived files whose (fund, layout, checksum) is no current version yet."""
     keys = ["fund_code", "layout_key", "checksum"]
-    first = arrived.dropDuplicates(keys)
+    first = first_of(arrived, keys)
     return first.join(stored.where("is_current").select(*keys), keys, "left_anti")
 
 
@@ -36,9 +43,9 @@ def version_chain(files: DataFrame, order: Sequence[str], block: Column, keys: S
     )
 
 
-def missing_rows(wanted: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct wanted rows whose key is not stored yet."""
-    return wanted.dropDuplicates(list(keys)).join(stored.select(*keys).distinct(), list(keys), "left_anti")
+def missing_rows(wanted: DataFrame, stored: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Wanted rows whose key is not stored yet, the first of each key."""
+    return first_of(wanted, keys, order).join(stored.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def period_rows(dates: DataFrame) -> DataFrame:
@@ -62,6 +69,7 @@ def load_counts(staged: DataFrame, stored: DataFrame, file_id: str = "source_fil
     )
 
 
-def rows_to_append(staged: DataFrame, stored: DataFrame, file_id: str = "source_file_id", row_hash: str = "source_row_hash") -> DataFrame:
-    """Staged rows not stored yet, each hash once per file."""
-    return missing_rows(staged, stored, [file_id, row_hash])
+def rows_to_append(staged: DataFrame, stored: DataFrame | None = None, file_id: str = "source_file_id", row_hash: str = "source_row_hash", row_number: str = "source_row_number") -> DataFrame:
+    """Staged rows not stored yet; of rows with one hash the first of the file stays."""
+    keys = [file_id, row_hash]
+    return first_of(staged, keys, [row_number]) if stored is None else missing_rows(staged, stored, keys, [row_number])

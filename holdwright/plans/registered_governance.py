@@ -67,6 +67,15 @@ def idempotent_load(spark: SparkSession, sf: str) -> DataFrame:
     return versions.load_counts(staged, stored)
 
 
+def load_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that the same second load appends: the first line of each hash survives."""
+    li = DriverTables(spark, sf).table("lineitem")
+    staged = _cells(li).withColumn("source_row_hash", json_digest(F.col("cells")))
+    stored = _cells(li.where(F.col("l_returnflag") == "R")).withColumn("source_row_hash", json_digest(F.col("cells")))
+    out = versions.rows_to_append(staged, stored)
+    return out.select("source_file_id", "source_row_hash", F.col("source_row_number").cast("bigint").alias("source_row_number"))
+
+
 def _taxonomy(t: DriverTables) -> DataFrame:
     """Approved taxonomy of each layout: one row per class, subclass and aggregate flag.
 
@@ -244,6 +253,7 @@ QUERIES = {
     "dimension_seed": dimension_seed,
     "row_hash": row_hash,
     "idempotent_load": idempotent_load,
+    "load_rows": load_rows,
     "taxonomy_validate": taxonomy_validate,
     "drift_compare": drift_compare,
     "mapping_decision": mapping_decision,
@@ -304,12 +314,13 @@ UNION ALL SELECT DISTINCT 'option', option_code, CAST(NULL AS DATE), option_name
     "row_hash": with_ctes(CELLS, query="SELECT source_file_id, CAST(source_row_number AS BIGINT) AS source_row_number, source_row_hash FROM cells"),
     "idempotent_load": with_ctes(CELLS, query="""SELECT source_file_id, CAST(sum(copies) AS BIGINT) AS rows_staged, count(*) FILTER (NOT known) AS rows_inserted, CAST(sum(copies) AS BIGINT) - count(*) FILTER (NOT known) AS rows_skipped_existing
 FROM (SELECT source_file_id, source_row_hash, count(*) AS copies, bool_or(l_returnflag = 'R') AS known FROM cells GROUP BY 1, 2) GROUP BY 1"""),
+    "load_rows": with_ctes(CELLS, query="""SELECT source_file_id, source_row_hash, CAST(min(source_row_number) AS BIGINT) AS source_row_number FROM cells GROUP BY 1, 2 HAVING NOT bool_or(l_returnflag = 'R')"""),
     "taxonomy_validate": with_ctes(FILES, LINES, OBS, TAX, ISSUES, query="""SELECT * FROM (SELECT source_file_id, row_number() OVER (PARTITION BY source_file_id ORDER BY source_row_number, holding_key, p) AS rank, holding_key, reason, expected, actual FROM issues) WHERE rank <= 10"""),
     "drift_compare": with_ctes(FILES, LINES, OBS, PROFILES, query="""SELECT source_file_id, layout_key || '-' || CAST(n AS VARCHAR) AS mapping_version_id, drift, CAST(drift_score AS BIGINT) AS drift_score
 FROM (SELECT *, row_number() OVER (PARTITION BY source_file_id ORDER BY drift_score, n) AS rn FROM cand) WHERE rn = 1"""),
     "mapping_decision": with_ctes(FILES, LINES, OBS, TAX, ISSUES, PROFILES, query="""SELECT source_file_id, layout_key || '-' || CAST(n AS VARCHAR) AS mapping_version_id, CAST(score AS BIGINT) AS score, CASE stage WHEN 1 THEN 'unapproved_taxonomy_mapping' WHEN 2 THEN 'schema_drift' END AS review_reason,
   CASE WHEN stage = 0 THEN 'loaded' ELSE 'review_required' END AS ingest_status
-FROM (SELECT *, row_number() OVER (PARTITION BY source_file_id ORDER BY stage, score, n) AS rn FROM (SELECT *, CASE stage WHEN 2 THEN drift_score WHEN 1 THEN 1 + least(10, mismatches) ELSE 0 END AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY source_file_id ORDER BY stage, score, n) AS rn FROM (SELECT *, CASE stage WHEN 2 THEN drift_score WHEN 1 THEN 1 + mismatches ELSE 0 END AS score
   FROM (SELECT c.*, CASE WHEN drift_score > 0 THEN 2 WHEN coalesce(k, 0) > 0 THEN 1 ELSE 0 END AS stage, coalesce(k, 0) AS mismatches FROM cand c LEFT JOIN (SELECT source_file_id, count(*) AS k FROM issues GROUP BY 1) USING (source_file_id)))) WHERE rn = 1"""),
     "review_status": """WITH i AS (SELECT o_orderkey AS item_id, o_custkey, o_orderpriority AS pr, o_totalprice >= 1000 AS printed, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS turn FROM orders WHERE o_orderstatus = 'P')
 SELECT item_id, CASE WHEN pr = '1-URGENT' THEN 'resolved' WHEN pr = '2-HIGH' THEN 'rejected' WHEN pr = '3-MEDIUM' AND turn = 1 AND printed THEN 'resolved' ELSE 'open' END AS new_status,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import pytest
@@ -66,7 +67,8 @@ def test_every_layout_loads(loaded):
 
 def test_dimensions(loaded):
     periods = loaded.facts("periods", ingest.schema_of(ingest.PERIODS)).collect()
-    assert [(str(p.reporting_period), str(p.disclosure_due), p.label) for p in periods] == [("2025-12-31", "2026-03-31", "2025-12-31")]
+    got = sorted((str(p.reporting_period), str(p.disclosure_due), p.label) for p in periods)
+    assert got == [("2024-06-30", "2024-09-28", "2024-06-30"), ("2025-12-31", "2026-03-31", "2025-12-31")]
     assert loaded.facts("options", ingest.schema_of(ingest.OPTIONS)).count() == 10
     assert loaded.facts("asset_classes", ingest.schema_of(ingest.CLASSES)).count() == 12
 
@@ -89,7 +91,7 @@ def test_same_batch_again_changes_nothing(spark, loaded, landing, approved):
 
 
 def test_restatement_bad_file_and_drift(spark, loaded, landing, approved, tmp_path):
-    d, o = "31/12/2025", "High Harbour"
+    d, o = "30/06/2024", "Slow Harbour"
     lf.put(tmp_path, "flat11", "harbour", lf.NONE, "restated.csv", lf.flat_11([[d, o, "Cash", "", "Quay Bank", "", "9", "", "", "AUD", ""]]))
     lf.put(tmp_path, "flat11", "harbour", lf.NONE, "broken.csv", lf.flat_11([[d, "Low Harbour", "Cash", "", "Quay Bank", "", "oops", "", "", "AUD", ""]]))
     lf.put(tmp_path, "blocks5_single", "high", "2025-12-31", "scope.csv", lf.blocks_single("Held directly by friends"))
@@ -121,6 +123,24 @@ def test_read_models_over_stored_tables(spark, loaded):
     assert mix.agg(F.sum("observation_count")).first()[0] == observations.where("is_current AND has_name AND NOT is_aggregate").count()
 
 
+def test_one_path_with_changing_content(spark, approved, tmp_path):
+    """New content under an old name supersedes it; old content that comes back is current again, once."""
+    store = Store(spark, str(tmp_path / "store"))
+    d, o = "30/06/2024", "Slow Harbour"
+    bodies = [lf.flat_11([[d, o, "Cash", "", "Quay Bank", "", value, "", "", "AUD", ""] for value in values]) for values in (["5", "6", "5"], ["7"], ["5", "6", "5"])]
+    for batch, body in enumerate(bodies, 1):
+        path = lf.put(tmp_path / "landing", "flat11", "harbour", lf.NONE, "same.csv", body)
+        os.utime(path, (1_700_000_000 + batch * 60,) * 2)
+        ingest.load_batch(store, read_files(spark, str(tmp_path / "landing")), *approved, batch=batch)
+        ingest.load_batch(store, read_files(spark, str(tmp_path / "landing")), *approved, batch=batch)
+    files = sorted(files_of(store).collect(), key=lambda r: r.version_number)
+    assert [(r.version_number, r.is_current) for r in files] == [(1, False), (2, False), (3, True)]
+    assert len({r.source_file_id for r in files}) == 3 and files[2].supersedes_file_id == files[1].source_file_id
+    rows = ingest.stored_observations(store).where("is_current").select("value_aud", "source_row_number").collect()
+    assert sorted((int(r.value_aud), r.source_row_number) for r in rows) == [(5, 2), (6, 3)]
+    assert holdings_of(store).count() == 5
+
+
 def test_stream_loads_the_same(spark, landing, approved, loaded, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     query = ingest_stream(store, str(landing), *approved, progress=str(tmp_path / "progress"), files_per_batch=5)
