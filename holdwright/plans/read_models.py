@@ -518,7 +518,7 @@ def search_matches(corpus: Corpus, query: str) -> DataFrame:
     text = query.strip()
     if not text:
         raise ValueError("query must not be blank")
-    folded, key = text.lower(), " ".join(text.lower().split())
+    folded, key = text.casefold(), " ".join(text.casefold().split())
     priority = lookup(vocab.SEARCH_PRIORITY, F.col("matched_on"))
     scored = search_subjects(corpus).withColumn("score", rules.search_score(priority, F.col("candidate"), folded, key))
     scored = scored.where(F.col("score").isNotNull())

@@ -14,7 +14,7 @@ from holdwright.operators.paging import top_of_each
 from holdwright.operators.skew import fill_forward
 from holdwright.plans.binding import CLASS_OF_TYPE, DriverTables
 from holdwright.plans.corpus import with_status
-from holdwright.plans.oracle_base import FILES, LINES, OBS, half, with_ctes
+from holdwright.plans.oracle_base import FILES, LINES, OBS, half, norm, with_ctes
 from holdwright.session import written_once
 
 LAYOUTS = ["automobile", "building", "furniture", "household", "machinery"]
@@ -179,27 +179,31 @@ def review_queue_open(spark: SparkSession, sf: str) -> DataFrame:
     return with_status(items, "open").join(files, "source_file_id", "left")
 
 
+FILING = ["fund_code", "option_code", "reporting_period"]
+VIEW_GROUP = [*FILING, "source_asset_class_raw", "name_key"]
+
+
 def _views(t: DriverTables) -> DataFrame:
-    """Files re-read as duplicate views: one group per (file, part type)."""
+    """Filings of a fund, option and period read as one file with duplicate views."""
     rows = t.observations.where(F.col("has_name"))
     key = F.when(F.col("source_subclass_raw").isNotNull(), F.lower("source_subclass_raw")).otherwise(F.lit("all assets"))
     return rows.select(
-        "source_file_id", "source_asset_class_raw", "holding_key", "value_aud", "ownership_pct", "classification_raw", "value_band_raw",
-        F.regexp_extract(normalise_name(F.col("raw_name")), r"^(\S+)", 1).alias("name_key"),
+        *FILING, "source_asset_class_raw", "holding_key", "value_aud", "ownership_pct", "classification_raw", "value_band_raw", normalise_name(F.col("raw_name")).alias("name_key"),
         view_role(key, F.col("value_aud"), F.col("ownership_pct")).alias("view_role"),
     )
 
 
 def duplicate_view_merge(spark: SparkSession, sf: str) -> DataFrame:
     rows = _views(DriverTables(spark, sf))
-    out = merge_duplicate_views(rows, ["source_file_id", "source_asset_class_raw"], "holding_key", ["classification_raw", "value_band_raw"])
+    out = merge_duplicate_views(rows, VIEW_GROUP, "holding_key", ["classification_raw", "value_band_raw"])
     return out.select("holding_key", "view_role", "is_merged", "classification_raw", "value_band_raw", "precise_rows", "metadata_rows", F.when(F.col("is_merged"), F.col("first_metadata_row")).alias("first_metadata_row"))
 
 
 def duplicate_view_events(spark: SparkSession, sf: str) -> DataFrame:
     rows = _views(DriverTables(spark, sf))
-    several = ambiguous_groups(rows, ["source_file_id", "source_asset_class_raw"]).select("source_file_id", F.col("source_asset_class_raw").alias("group_key"), "group_rows", "reason")
-    across = names_across_classes(rows, ["source_file_id", "name_key"], "source_asset_class_raw", "value_aud").select("source_file_id", F.col("name_key").alias("group_key"), "group_rows", "reason")
+    none = F.lit(None).cast("string")
+    several = ambiguous_groups(rows, VIEW_GROUP).select(*VIEW_GROUP, "group_rows", "reason")
+    across = names_across_classes(rows, [*FILING, "name_key"], "source_asset_class_raw", "value_aud").select(*FILING, none.alias("source_asset_class_raw"), "name_key", "group_rows", "reason")
     return several.unionByName(across)
 
 
@@ -294,9 +298,10 @@ cand AS (SELECT p.source_file_id, p.layout_key, n, concat_ws(',', CASE WHEN p.cl
   3 * (CASE WHEN p.classes <> v.classes THEN 1 ELSE 0 END + CASE WHEN p.styles <> v.styles THEN 1 ELSE 0 END + CASE WHEN v.total IS NOT NULL AND p.has_total <> v.total THEN 1 ELSE 0 END) AS drift_score FROM profiles p, vers v)"""
 VIEWS = """
 views AS (
-  SELECT source_file_id, source_asset_class_raw, holding_key, value_aud, ownership_pct, classification_raw, value_band_raw, regexp_extract(lower(trim(raw_name)), '^(\\S+)', 1) AS name_key,
+  SELECT fund_code, option_code, reporting_period, source_asset_class_raw, holding_key, value_aud, ownership_pct, classification_raw, value_band_raw, NORM AS name_key,
     CASE WHEN source_subclass_raw IS NOT NULL AND (value_aud IS NOT NULL OR ownership_pct IS NOT NULL) THEN 'precise' WHEN source_subclass_raw IS NULL AND value_aud IS NULL THEN 'metadata' ELSE 'other' END AS view_role
-  FROM obs WHERE has_name)"""
+  FROM obs WHERE has_name)""".replace("NORM", norm("raw_name"))
+VIEW_BY = "fund_code, option_code, reporting_period, source_asset_class_raw, name_key"
 MANIFEST = """
 man AS (SELECT source_file_id, fund_code, CAST(floor(declared_total) AS BIGINT) % 8 AS expected_rows FROM files0 WHERE ingest_status = 'loaded'),
 got AS (SELECT source_file_id, count(*) AS observed_rows FROM lines GROUP BY 1),
@@ -326,14 +331,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY source_file_id ORDER BY stage, s
 SELECT item_id, CASE WHEN pr = '1-URGENT' THEN 'resolved' WHEN pr = '2-HIGH' THEN 'rejected' WHEN pr = '3-MEDIUM' AND turn = 1 AND printed THEN 'resolved' ELSE 'open' END AS new_status,
   CASE WHEN pr = '3-MEDIUM' AND turn = 1 AND printed THEN 'm-' || CAST(o_custkey AS VARCHAR) END AS approved_version FROM i""",
     "review_queue_open": with_ctes(FILES, query="SELECT o_orderkey AS source_file_id, 'open' AS status, fund_code, fund_name, received_on FROM orders JOIN files0 ON o_orderkey = source_file_id WHERE o_orderstatus = 'P' AND o_orderpriority <> '5-LOW'"),
-    "duplicate_view_merge": with_ctes(FILES, LINES, OBS, VIEWS, query="""SELECT holding_key, view_role, m AND view_role = 'precise' AS is_merged, CASE WHEN m AND view_role = 'precise' THEN coalesce(classification_raw, mc) ELSE classification_raw END AS classification_raw,
+    "duplicate_view_merge": with_ctes(FILES, LINES, OBS, VIEWS, query=f"""SELECT holding_key, view_role, m AND view_role = 'precise' AS is_merged, CASE WHEN m AND view_role = 'precise' THEN coalesce(classification_raw, mc) ELSE classification_raw END AS classification_raw,
   CASE WHEN m AND view_role = 'precise' THEN coalesce(value_band_raw, mb) ELSE value_band_raw END AS value_band_raw, precise_rows, metadata_rows, CASE WHEN m AND view_role = 'precise' THEN first_row END AS first_metadata_row
-FROM (SELECT v.*, g.* EXCLUDE (source_file_id, source_asset_class_raw), precise_rows = 1 AND metadata_rows > 0 AS m FROM views v JOIN (
-    SELECT source_file_id, source_asset_class_raw, count(*) FILTER (view_role = 'precise') AS precise_rows, count(*) FILTER (view_role = 'metadata') AS metadata_rows, min(holding_key) FILTER (view_role = 'metadata') AS first_row,
-      arg_min(classification_raw, holding_key) FILTER (view_role = 'metadata' AND classification_raw IS NOT NULL) AS mc, arg_min(value_band_raw, holding_key) FILTER (view_role = 'metadata' AND value_band_raw IS NOT NULL) AS mb FROM views GROUP BY 1, 2) g USING (source_file_id, source_asset_class_raw))
+FROM (SELECT v.*, g.* EXCLUDE ({VIEW_BY}), precise_rows = 1 AND metadata_rows > 0 AS m FROM views v JOIN (
+    SELECT {VIEW_BY}, count(*) FILTER (view_role = 'precise') AS precise_rows, count(*) FILTER (view_role = 'metadata') AS metadata_rows, min(holding_key) FILTER (view_role = 'metadata') AS first_row,
+      arg_min(classification_raw, holding_key) FILTER (view_role = 'metadata' AND classification_raw IS NOT NULL) AS mc, arg_min(value_band_raw, holding_key) FILTER (view_role = 'metadata' AND value_band_raw IS NOT NULL) AS mb FROM views GROUP BY ALL) g USING ({VIEW_BY}))
 WHERE NOT (m AND view_role = 'metadata')"""),
-    "duplicate_view_events": with_ctes(FILES, LINES, OBS, VIEWS, query="""SELECT source_file_id, source_asset_class_raw AS group_key, count(*) AS group_rows, 'multiple_precise_rows_within_group' AS reason FROM views GROUP BY 1, 2 HAVING count(*) FILTER (view_role = 'precise') > 1
-UNION ALL SELECT source_file_id, name_key, count(*), 'same_name_value_rows_across_asset_classes' FROM views WHERE value_aud IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT source_asset_class_raw) > 1"""),
+    "duplicate_view_events": with_ctes(FILES, LINES, OBS, VIEWS, query=f"""SELECT {VIEW_BY}, count(*) AS group_rows, 'multiple_precise_rows_within_group' AS reason FROM views GROUP BY ALL HAVING count(*) FILTER (view_role = 'precise') > 1
+UNION ALL SELECT fund_code, option_code, reporting_period, NULL, name_key, count(*), 'same_name_value_rows_across_asset_classes' FROM views WHERE value_aud IS NOT NULL GROUP BY ALL HAVING count(DISTINCT source_asset_class_raw) > 1"""),
     "fill_forward_state": """SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, CAST(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS BIGINT) AS user_turn, last_value(CASE WHEN role = 'user' THEN sha256(text) END IGNORE NULLS) OVER w AS user_text
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "sample_rows": """SELECT * FROM (SELECT CAST(doc_id AS BIGINT) AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS rank, line_number, sha256(line) AS line_hash

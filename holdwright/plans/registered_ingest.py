@@ -74,11 +74,20 @@ def flat_file_profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def csv_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole documents read as CSV files: records and cells of each."""
-    docs = DriverTables(spark, sf).table("documents")
-    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.to_binary("text", F.lit("utf-8")).alias("content"), F.lit("replace").alias("decoding"))
-    out = tokenise(files, carried=["path"])
-    return out.groupBy("path").agg(F.max("row_number").cast("bigint").alias("record_count"), F.sum(F.size("cells")).alias("cell_count"), F.count_if(F.size("cells") == 0).alias("blank_records"))
+    """Orders written as CSV files with quotes, commas, line breaks and blank records, and read back."""
+    li = DriverTables(spark, sf).table("lineitem")
+    quoted = F.concat(F.lit('"'), F.col("l_returnflag"), F.lit(', ""'), F.col("l_linestatus"), F.lit('""\nend"'))
+    line = F.concat_ws(",", F.col("l_partkey").cast("string"), quoted, F.lit(""), F.col("l_quantity").cast("bigint").cast("string"))
+    line = F.concat(line, F.when(F.col("l_linenumber") % 2 == 0, F.lit("\n\n")).otherwise(F.lit("\r\n")))
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line"))
+    files = li.groupBy(F.col("l_orderkey").cast("string").alias("path")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda r: r["line"]), "")
+    out = tokenise(files.select("path", F.to_binary(body, F.lit("utf-8")).alias("content"), F.lit("replace").alias("decoding")), carried=["path"])
+    cells = F.array_sort(F.collect_list(F.struct("row_number", F.array_join("cells", "|").alias("cells"))))
+    text = F.array_join(F.transform(cells, lambda r: r["cells"]), ";")
+    return out.groupBy("path").agg(
+        F.max("row_number").cast("bigint").alias("record_count"), F.sum(F.size("cells")).alias("cell_count"), F.count_if(F.size("cells") == 0).alias("blank_records"), F.sha2(text, 256).alias("cells_digest")
+    )
 
 
 def arrivals_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,6 +120,9 @@ f0 AS (
   FROM lineitem),
 f AS (SELECT *, kind = 'holding' AND unknown AS is_unknown, kind = 'holding' AND bad_date AS is_bad FROM f0)"""
 SQL = {
+    "csv_records": """SELECT CAST(l_orderkey AS VARCHAR) AS path, count(*) + count(*) FILTER (l_linenumber % 2 = 0) AS record_count, 4 * count(*) AS cell_count, count(*) FILTER (l_linenumber % 2 = 0) AS blank_records,
+  sha256(string_agg(concat(CAST(l_partkey AS VARCHAR), '|', l_returnflag, ', "', l_linestatus, '"', chr(10), 'end||', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), CASE WHEN l_linenumber % 2 = 0 THEN ';' ELSE '' END), ';' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_quantity)) AS cells_digest
+FROM lineitem GROUP BY 1""",
     "flat_layout_rows": with_ctes(ROWS, query="""SELECT path, row_number, kind, CASE WHEN kind = 'holding' AND NOT bad_date THEN CAST(l_shipdate AS DATE) END AS reporting_period, CASE WHEN kind = 'holding' THEN 'Option ' || CAST(l_suppkey AS VARCHAR) END AS source_option_code,
   CASE WHEN kind = 'holding' THEN nullif(style, '') END AS source_subclass_raw,
   CASE WHEN kind = 'holding' AND NOT unknown THEN CASE l_linenumber WHEN 1 THEN 'cash' WHEN 2 THEN 'listed_equity' WHEN 3 THEN 'unlisted_property' WHEN 4 THEN 'unlisted_equity' WHEN 5 THEN 'fixed_income' ELSE 'cash' END END AS asset_class_code,

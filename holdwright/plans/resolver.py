@@ -296,7 +296,9 @@ def apply_queue_decisions(items: DataFrame, decisions: DataFrame, members: DataF
 
     decisions: holding_key, action (accept | reject | create_new),
     chosen_entity_id, resolved_by, notes, decided_at. The first decision on an
-    open item counts. An accept must name one of the item's candidates.
+    open item counts. An accept must name one of the item's candidates, and an
+    item without a name takes no decision: its override would stand for every
+    nameless row of the fund.
     """
     first = decisions.groupBy("holding_key").agg(
         F.min_by(F.struct("action", "chosen_entity_id", "resolved_by", "notes", "decided_at"), "decided_at").alias("d")
@@ -306,7 +308,7 @@ def apply_queue_decisions(items: DataFrame, decisions: DataFrame, members: DataF
     on = (F.col("name_key") == F.col("m_name")) & (F.col("chosen_entity_id") == F.col("m_entity"))
     picked = picked.join(known, on, "left")
     valid = (
-        F.when(F.col("status") != "open", F.lit(False))
+        F.when((F.col("status") != "open") | (F.coalesce(F.trim("name_key"), F.lit("")) == ""), F.lit(False))
         .when(F.col("action") == "accept", F.coalesce("is_candidate", F.lit(False)))
         .when(F.col("action") == "create_new", F.col("raw_name").isNotNull())
         .otherwise(F.col("action") == "reject")
