@@ -323,6 +323,19 @@ def test_lines(spark, docs, empty):
     assert lines.removed_lines(empty).count() == 0 and lines.dedup(docs).columns == docs.columns
 
 
+def test_line_values_of_long_lines(spark):
+    """A line of several chunks votes as a whole, and repeated rows change nothing."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(50)}" for _ in range(70_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:40_000])), (3, "a b"), (3, "a b")]
+    got = {r.id: r for r in lines.line_values(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in {*words, "a", "b"}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    for i, text in rows:
+        own = text.split()
+        want = sum(1 << b for b in range(64) if 2 * sum((hashes[w] >> b) & 1 for w in own) > len(own))
+        assert got[i].value & (2**64 - 1) == want and got[i].words == len(own)
+
+
 def distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
