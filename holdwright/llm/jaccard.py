@@ -228,11 +228,17 @@ def least_shingles(sets: DataFrame) -> DataFrame:
     return sets.select("id", "tokens").mapInArrow(run, "id bigint, keys array<bigint>")
 
 
-def similar_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, group) of every set: connected stars of verified links."""
-    keyed = least_shingles(sets).select("id", F.posexplode("keys").alias("order", "key"))
-    pivots = keyed.groupBy("order", "key").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other < last").drop("last")
-    pairs = skewed_lookup(keyed, pivots, ["order", "key"], ["id"]).where("other is not null and other <> id").select("id", "other").distinct()
+def similar_groups(sets: DataFrame, central: DataFrame, percent: int) -> DataFrame:
+    """(id, group) of every set: connected stars of verified links.
+
+    `central` has the share of a set that other classes have too. The document with the
+    largest share stands in the middle: of a family of edited copies that is the one with the
+    fewest edits, which links with whatever links at all. Equal ones take turns by order.
+    """
+    keyed = least_shingles(sets).join(central, "id").select("id", "central", F.posexplode("keys").alias("order", "key"))
+    middle = F.max_by("id", F.struct("central", F.xxhash64("order", "id"))).alias("other")
+    pivots = keyed.groupBy("order", "key").agg(middle, F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").drop("least", "last")
+    pairs = skewed_lookup(keyed, pivots, ["order", "key"], ["id"]).where("other is not null and other <> id").select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
     links = stored(verified(pairs, sets, percent))
     groups = components(links, "id", "other")
     return sets.select("id").distinct().join(groups, F.col("id") == F.col("vertex"), "left").select("id", F.coalesce("component", "id").alias("group"))
@@ -291,9 +297,14 @@ def links_between(opened: DataFrame, percent: int) -> DataFrame:
     # shingles of no other group come first in the order and match nothing
     room = F.col("n") - need + 1 - (F.col("n") - F.col("known"))
     ranked = shared.join(enough.select("id", "known"), "id").groupBy("id", "group", "n", "known").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-    prefix = stored(ranked.select("id", "group", "n", F.explode(F.slice("order", F.lit(1), room.cast("int"))).alias("t")).select("id", "group", "n", F.col("t.token").alias("token")))
-    matrix = prefix.select("token", F.col("group").alias("asked")).distinct()
-    fits = prefix.join(matrix, "token").where("group <> asked").select("id", "asked", "n").distinct()
+    prefix = ranked.select("id", "group", "n", "known", F.explode(F.slice("order", F.lit(1), room.cast("int"))).alias("t"))
+    prefix = stored(prefix.select("id", "group", "n", "known", F.col("t.token").alias("token")))
+    least = opened.groupBy(F.col("group").alias("asked")).agg(F.min("n").alias("least"))
+    matrix = prefix.select("token", F.col("group").alias("asked")).distinct().join(least, "asked")
+    # what a document shares with other groups must hold the overlap that the group's smallest possible partner needs
+    smallest = F.greatest(F.col("least").cast("double"), F.col("n") * (percent / 100))
+    holds = F.col("known") * (100 + percent) + 1e-6 >= F.lit(percent) * (F.col("n") + smallest)
+    fits = prefix.join(matrix, "token").where((F.col("group") != F.col("asked")) & holds).select("id", "asked", "n").distinct()
     union = shared.select("token", F.col("group").alias("asked")).distinct()
     overlap = fits.join(shared.select("id", "token"), "id").join(union, ["token", "asked"]).groupBy("id", "asked", "n").agg(F.count("*").alias("common"))
     asking = overlap.where(F.lit(100) * F.col("common") >= F.lit(percent) * F.col("n")).select("id", "asked")
@@ -310,9 +321,10 @@ def link_components(docs: DataFrame, percent: int = 75, size: int = 5, key: str
     counted = shared_counts(source, size, share)
     classes = stored(about.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep")))
     keep = skewed_lookup(about.where("n > 0"), counted.select(F.col("id").alias("id"), "shared"), ["id"], ["id"]).where(F.col("shared") >= F.greatest(F.lit(1.0), F.floor(F.col("n") * least + 1e-6)))
-    wanted = keep.select("c1", "c2").distinct().join(classes, ["c1", "c2"]).select(F.col("rep").alias("id"))
+    shares = keep.groupBy("c1", "c2").agg(F.max(F.col("shared") / F.col("n")).alias("central"))
+    wanted = stored(shares.join(classes, ["c1", "c2"]).groupBy(F.col("rep").alias("id")).agg(F.max("central").alias("central")))
     sets = stored(sets_of(source, wanted, size, text_buckets(docs, text)))
-    groups = stored(similar_groups(sets, percent))
+    groups = stored(similar_groups(sets, wanted, percent))
     labelled = sets.join(groups, "id")
     opened = stored(labelled.join(open_groups(labelled, percent), "group", "left_semi"))
     between = stored(links_between(opened, percent)) if not opened.isEmpty() else None
