@@ -104,16 +104,22 @@ def summaries(source: DataFrame, size: int) -> DataFrame:
     return source.mapInArrow(run, "id bigint, n bigint, c1 bigint, c2 bigint")
 
 
-def shared_counts(source: DataFrame, size: int, share: float) -> DataFrame:
+def told(ids: np.ndarray, times: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Packed (id, times) rows, one for each part of the ids."""
+    part = bucket_of(ids, parts)
+    order = np.argsort(part, kind="stable")
+    if len(order):
+        for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            yield int(part[at[0]]), blocks.MARK, 0, ids[at].tobytes(), times[at].astype(np.int64).tobytes()
+
+
+def shared_counts(source: DataFrame, size: int, share: float, parts: int) -> DataFrame:
     """(id, shared): prefix shingles that another class has in its prefix as well.
 
     A class sends its shingles once per task. Shingles that several classes of one
     slice have are told at once, and one entry without an owner goes on.
     """
 
-    def told(ids: np.ndarray, times: np.ndarray) -> tuple:
-        return 0, blocks.MARK, 0, ids.tobytes(), times.astype(np.int64).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held, size_now = [], 0
@@ -129,7 +135,7 @@ def shared_counts(source: DataFrame, size: int, share: float) -> DataFrame:
             rows = []
             if several.any():
                 who, times = np.unique(ids[several], return_counts=True)
-                rows.append(told(who, times))
+                rows.extend(told(who, times, parts))
             ids = np.where(several, NONE, ids)
             return blocks.batch([*rows, *blocks.entries(hashes[head], ids[head], width=4)])
 
@@ -164,22 +170,24 @@ def shared_counts(source: DataFrame, size: int, share: float) -> DataFrame:
         several[:-1] |= same
         owners = ids[several]
         if len(owners := owners[owners != NONE]):
-            yield told(*np.unique(owners, return_counts=True))
+            yield from told(*np.unique(owners, return_counts=True), parts)
 
     return _counted(blocks.by_range(source.mapInArrow(run, blocks.SCHEMA), reduce, width=4))
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Sum the (id, times) arrays."""
+    """(id, shared): the sums of the packed (id, times) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            ids = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int64)
-            times = np.frombuffer(b"".join(b.column(4).to_pylist()), np.int64)
+            ids = np.concatenate([who, np.frombuffer(b"".join(b.column(3).to_pylist()), np.int64)])
+            times = np.concatenate([sums, np.frombuffer(b"".join(b.column(4).to_pylist()), np.int64)])
             who, back = np.unique(ids, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.bincount(back, times, len(who)).astype(np.int64))], names=["id", "times"])
+            sums = np.bincount(back, times, len(who)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(sums)], names=["id", "shared"])
 
-    return rows.mapInArrow(run, "id bigint, times bigint").groupBy("id").agg(F.sum("times").alias("shared"))
+    return rows.repartition("part").mapInArrow(run, "id bigint, shared bigint")
 
 
 def sets_of(source: DataFrame, wanted: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -244,7 +252,7 @@ def similar_groups(sets: DataFrame, central: DataFrame, percent: int) -> DataFra
     return sets.select("id").distinct().join(groups, F.col("id") == F.col("vertex"), "left").select("id", F.coalesce("component", "id").alias("group"))
 
 
-def open_groups(labelled: DataFrame, percent: int) -> DataFrame:
+def open_groups(labelled: DataFrame, percent: int, parts: int) -> DataFrame:
     """Groups whose union shares enough shingles with other groups to hold a link of their smallest set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +288,7 @@ def open_groups(labelled: DataFrame, percent: int) -> DataFrame:
         several[:-1] |= same
         if several.any():
             who, times = np.unique(groups[several], return_counts=True)
-            yield 0, blocks.MARK, 0, who.tobytes(), times.astype(np.int64).tobytes()
+            yield from told(who, times, parts)
 
     shared = _counted(blocks.by_range(labelled.select("group", "tokens").mapInArrow(run, blocks.SCHEMA), reduce))
     needs = labelled.groupBy("group").agg(F.min("n").alias("least"))
@@ -318,15 +326,17 @@ def link_components(docs: DataFrame, percent: int = 75, size: int = 5, key: str
     source = _documents(docs, key, text)
     share, least = prefix_rule(percent)
     about = stored(summaries(source, size))
-    counted = shared_counts(source, size, share)
+    buckets = text_buckets(docs, text)
+    parts = max(16, buckets // 4)
+    counted = shared_counts(source, size, share, parts)
     classes = stored(about.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep")))
     keep = skewed_lookup(about.where("n > 0"), counted.select(F.col("id").alias("id"), "shared"), ["id"], ["id"]).where(F.col("shared") >= F.greatest(F.lit(1.0), F.floor(F.col("n") * least + 1e-6)))
     shares = keep.groupBy("c1", "c2").agg(F.max(F.col("shared") / F.col("n")).alias("central"))
     wanted = stored(shares.join(classes, ["c1", "c2"]).groupBy(F.col("rep").alias("id")).agg(F.max("central").alias("central")))
-    sets = stored(sets_of(source, wanted, size, text_buckets(docs, text)))
+    sets = stored(sets_of(source, wanted, size, buckets))
     groups = stored(similar_groups(sets, wanted, percent))
     labelled = sets.join(groups, "id")
-    opened = stored(labelled.join(open_groups(labelled, percent), "group", "left_semi"))
+    opened = stored(labelled.join(open_groups(labelled, percent, parts), "group", "left_semi"))
     between = stored(links_between(opened, percent)) if not opened.isEmpty() else None
     label = groups.select(F.col("id").alias("rep"), F.col("group").alias("component"))
     if between is not None and not between.isEmpty():
