@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from holdwright.llm.kernels import slices, strings
 
 WORD_END = "</w>"
-STORE_WORDS = 1_000_000
+STORE_WORDS = 300_000
 NO_PAIR = np.uint64(2**64 - 1)
 # Fixed value: the word pattern of the vocabulary file's pre-tokenizer.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdwright.session import written_once
+from holdwright.session import checkpoint_dir
 
 TEXT_BUCKET_CHARS = 4_000_000
 
@@ -14,9 +18,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_lists: list[list[str]] = []
+
+
+@contextmanager
+def noted(places: list[str]) -> Iterator[None]:
+    """Notes the tables that `stored` writes meanwhile."""
+    _lists.append(places)
+    try:
+        yield
+    finally:
+        _lists.pop()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read back: lineage ends here, and a lost executor costs only its own tasks."""
-    return written_once(df)
+    place = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if _lists:
+        _lists[-1].append(place)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def removed(spark: SparkSession, places: list[str]) -> None:
+    """Delete noted tables that nothing reads any more."""
+    while places:
+        place = spark._jvm.org.apache.hadoop.fs.Path(places.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def is_empty(df: DataFrame) -> bool:
