@@ -23,6 +23,8 @@ from holdwright.plans.corpus import Corpus, entity_names
 from holdwright.session import written_once
 
 
+MEMBERS_PER_BLOCK = 10_000
+
 # --- candidates --------------------------------------------------------------
 
 
@@ -282,11 +284,14 @@ def upsert_queue(stored: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def candidate_rows(corpus: Corpus, members: DataFrame | None = None) -> DataFrame:
-    """Members of every ambiguous name, in entity order."""
+    """Members of every ambiguous name, in entity order; blocks follow the range the ids span."""
     members = name_members(corpus) if members is None else members
     counts = members.groupBy("name_key").agg(F.count(F.lit(1)).alias("group_rows"))
     shared = skewed_lookup(members, counts, ["name_key"], ["entity_id"]).where(F.col("group_rows") > 1)
-    placed = ordered_positions(shared, ["name_key"], F.floor(F.col("entity_id") / 1_000_000), ["entity_id"])
+    low, high, n = members.agg(F.min("entity_id"), F.max("entity_id"), F.count(F.lit(1))).first()
+    width = max(1.0, ((high or 0) - (low or 0) + 1) * MEMBERS_PER_BLOCK / max(1, n))
+    block = F.floor((F.col("entity_id") - F.lit(low or 0)) / F.lit(width))
+    placed = ordered_positions(shared, ["name_key"], block, ["entity_id"])
     names = corpus.entities.select("entity_id", "canonical_name", "abn")
     return placed.join(names, "entity_id", "left").select("name_key", "position", "entity_id", "entity_type", "canonical_name", "abn", "group_rows")
 
