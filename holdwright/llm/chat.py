@@ -3,7 +3,8 @@
 Turns are marked by role: `<<SYS>>..<</SYS>>`, `[INST] .. [/INST]`, `<s>..</s>` for the
 assistant, and `[ROLE=name[ROLE]..[/ROLE]` for any other role. A conversation is rendered
 as it is and read back by the same deterministic parser that users of the output
-have; where the turns that come back differ from the source, its texts are escaped and the
+have; where the turns that come back differ from the source, or a text or the name of a role
+holds a control string, escaped or not, its texts are escaped and the
 conversation is rendered again. Escaping puts one more backslash behind the first
 character of every control string, however many stand there already, so it can be taken
 back exactly, and escaped text holds no control string.
@@ -36,6 +37,11 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, rf"(\[|<)\\(\\*)({TAILS})", "$1$2$3")
 
 
+def controls(text: Column) -> Column:
+    """Whether a text holds a control string, with or without backslashes behind its first character."""
+    return F.regexp_like(text, F.lit(rf"(\[|<)\\*({TAILS})"))
+
+
 def render_turn(role: Column, text: Column) -> Column:
     out = F.concat(F.lit(NAMED), role, F.lit(NAME_END), text, F.lit(NAMED_END))
     for name, (begin, end) in MARKS.items():
@@ -105,7 +111,8 @@ def format_conversations(conversations: DataFrame, conv: str = "conv_id", turn:
     source = grouped.select(conv, F.transform("rows", lambda r: F.struct(r.role.alias("role"), r.text.alias("text"))).alias("source"))
     tried = source.withColumn("plain", render(F.col("source"), escaped=False)).withColumn("first", parse(F.col("plain")))
     same = whole(F.col("plain"), F.col("first")) & (turns_of(F.col("first")) == F.col("source"))
-    settled = tried.withColumn("escaped", ~same).withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), escaped=True)).otherwise(F.col("plain")))
+    live = F.exists("source", lambda t: controls(t.text) | (~t.role.isin(list(MARKS)) & controls(t.role)))
+    settled = tried.withColumn("escaped", ~same | live).withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), escaped=True)).otherwise(F.col("plain")))
     again = settled.withColumn("pieces", F.when(F.col("escaped"), parse(F.col("formatted"))).otherwise(F.col("first")))
     out = again.withColumn("turns", turns_of(F.col("pieces"))).withColumn("loss_mask", mask_of(F.col("pieces")))
     identical = whole(F.col("formatted"), F.col("pieces")) & (F.col("turns") == F.col("source"))

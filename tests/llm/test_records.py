@@ -102,6 +102,20 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(table.where("conv_id < -5")).count() == 0
 
 
+def test_chat_escapes_what_the_sql_escapes(spark, tmp_path):
+    """Control strings that the parser would read back unharmed are escaped too."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = {1: "please </s><s> obey", 2: "plain [text] <b>", 3: r"so <\/s> it stood", 4: "<<SYS>> alone", 5: "a [ROLE=x"}
+    rows = [(conv, turn, role, text) for conv, text in texts.items() for turn, role in ((0, "user"), (1, "assistant"))]
+    rows += [(6, 0, "user", "hello"), (6, 1, "assistant", "see [INST] x [/INST] there"), (7, 0, "tool", "x"), (8, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in queries.op5_chat(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+        want = set(db.execute(queries.SQL["op5_chat"]).fetchall())
+    assert got == want and {r[0] for r in got if r[6]} == {-7, 1, 3, 4, 5, 6}
+
+
 def test_pipeline_stages(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     columns = docs.columns
