@@ -336,6 +336,19 @@ def test_line_values_of_long_lines(spark):
         assert got[i].value & (2**64 - 1) == want and got[i].words == len(own)
 
 
+def test_line_of_one_repeated_word(spark):
+    """Every word of a chunk votes for the same bits, among them the topmost of each lane."""
+    rows = [(1, "junk " * 70_000), (2, ("junk " * 32_768).strip()), (3, "w " * 16_384), (4, "other")]
+    source = spark.createDataFrame([*rows, (5, "junk " * 70_000)], "doc_id long, text string")
+    names = [f"w{k}" for k in range(64)]
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in ["junk", "w", "other", *names]], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    got = {r.id: (r.value, r.words) for r in lines.line_values(source).collect()}
+    assert got == {1: (hashes["junk"], 70_000), 2: (hashes["junk"], 32_768), 3: (hashes["w"], 16_384), 4: (hashes["other"], 1), 5: (hashes["junk"], 70_000)}
+    top = next(w for w in names if hashes[w] < 0)
+    full = spark.createDataFrame([(1, f"{top} " * 70_000)], "doc_id long, text string")
+    assert lines.line_values(full).first().value == hashes[top]
+
+
 def distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
