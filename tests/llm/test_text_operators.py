@@ -323,6 +323,45 @@ def test_lines(spark, docs, empty):
     assert lines.removed_lines(empty).count() == 0 and lines.dedup(docs).columns == docs.columns
 
 
+def test_short_fuzzy_lines_by_edit_similarity_alone(spark):
+    """Lines of 8 to 300 characters with a few edits; what links is told by edit similarity, not by any hash."""
+    rng = random.Random(12)
+    lines_of = [phrase(rng, n).replace("ß", "s")[:size].strip() for n, size in [(3, 12), (4, 19), (6, 25), (9, 40), (12, 55), (14, 62), (30, 110), (45, 160), (80, 300)] for _ in range(3)]
+    lines_of += ["abcdeab" * 9, "é" * 5 + "abcd" * 20]
+    texts = list(lines_of)
+    for line in lines_of:
+        for edits in (1, max(1, len(line) // 30), max(1, len(line) // 20)):
+            new = list(line)
+            for at in rng.sample(range(len(new)), edits):
+                new[at] = rng.choice(["x", "xy", ""])
+            texts.append("".join(new))
+        texts.append(line.replace(line.split()[-1], "xyz"))
+    rows = [(k, f"{t}\n...") for k, t in enumerate(texts)]
+    names = [" ".join(re.findall(r"[^\W_]+", t.lower())) for t in texts]
+    near = lambda a, b: distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)
+    least = closure([(x, y) for x in range(len(names)) for y in range(x) if abs(len(names[x]) - len(names[y])) < 31 and near(names[x], names[y])], range(len(names)))
+    got = {r.doc_id: r.n_removed for r in lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {k: int(least[k] < k) for k in range(len(names))} and sum(got.values()) > 70
+
+
+@pytest.mark.parametrize("similarity", [0.9, 0.8])
+def test_pieces_meet_every_short_pair(similarity):
+    """Any text within the allowed edits of a short one shares a piece with it."""
+    by_size = defaultdict(list)
+    for size, start, n, code in lines.piece_places(similarity):
+        by_size[size].append((start, n, code))
+    keys = lambda t: {(code, t[start - 1 : start - 1 + n]) for start, n, code in by_size[len(t)]}
+    rng = random.Random(9)
+    for _ in range(4000):
+        a = b = "".join(rng.choice("ab") for _ in range(rng.randint(5, lines.short_limit(similarity))))
+        for _ in range(lines.allowed(len(a), similarity)):
+            at = rng.randrange(len(b))
+            b = b[:at] + rng.choice(["", "c", "cc", "c" + b[at]]) + b[at + 1 :]
+        longer = max(len(a), len(b))
+        if a != b and longer <= lines.short_limit(similarity) and distance(a, b) <= lines.allowed(longer, similarity):
+            assert keys(a) & keys(b), (a, b)
+
+
 def test_line_values_of_long_lines(spark):
     """A line of several chunks votes as a whole, and repeated rows change nothing."""
     rng = random.Random(8)
