@@ -80,7 +80,7 @@ def queue_list(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Decisions on name items, chosen by asset class."""
+    """Decisions on name items, chosen by asset class; the SQL states only these, apply_queue_decisions takes items of any kind."""
     corpus = DriverTables(spark, sf).corpus
     items = written_once(resolver.queue_items(resolver.resolve(corpus, _now())).where(F.col("group_kind") == "NAME"))
     members = resolver.name_members(corpus)
@@ -90,7 +90,7 @@ def _decided(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         "holding_key", action.alias("action"), F.when(F.col("asset_class") == "STANDARD", F.col("first_entity")).when(F.col("asset_class") == "MEDIUM", F.lit(-1)).cast("bigint").alias("chosen_entity_id"),
         F.lit("reviewer").alias("resolved_by"), F.when(F.col("fund_code") == "NATION_1", "  checked ").alias("notes"), F.lit("2000-02-01").cast("date").alias("decided_at"),
     )
-    return resolver.apply_queue_decisions(items, decisions, members)
+    return resolver.apply_queue_decisions(items, decisions, resolver.group_members(corpus))
 
 
 def queue_actions(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ Order of evidence per holding: existing link, business number, registry
 identifier, stored override, exact normalised name; ambiguity is queued.
 Candidate sets are never gathered: a key carries only how many entities share
 it and the one entity when there is exactly one. Members of an ambiguous key
-are rows of `candidate_rows`.
+are rows of `candidate_rows`, those of any queue item rows of `item_candidate_rows`.
 """
 
 from __future__ import annotations
@@ -283,17 +283,46 @@ def upsert_queue(stored: DataFrame, found: DataFrame) -> DataFrame:
     return keep.unionByName(found.select(*stored.columns))
 
 
-def candidate_rows(corpus: Corpus, members: DataFrame | None = None) -> DataFrame:
-    """Members of every ambiguous name, in entity order; blocks follow the range the ids span."""
-    members = name_members(corpus) if members is None else members
-    counts = members.groupBy("name_key").agg(F.count(F.lit(1)).alias("group_rows"))
-    shared = skewed_lookup(members, counts, ["name_key"], ["entity_id"]).where(F.col("group_rows") > 1)
+def group_members(corpus: Corpus, created: DataFrame | None = None) -> DataFrame:
+    """(group_kind, group_key, group_scope, entity, type) of all groups that a queue item may point at.
+
+    A name has a group for each scope of a holding: all its entities, and those of the scope's type.
+    """
+    types = corpus.entities.select("entity_id", "entity_type")
+    listed = identifier_members(corpus).join(types, "entity_id", "left")
+    identified = listed.select(F.col("id_kind").alias("group_kind"), F.col("id_value").alias("group_key"), F.lit(None).cast("string").alias("group_scope"), "entity_id", "entity_type")
+    scopes = F.explode(F.array(F.lit(None).cast("string"), F.lit("manager"), F.lit("company")))
+    named = name_members(corpus, created).withColumn("group_scope", scopes).where(F.col("group_scope").isNull() | (F.col("group_scope") == F.col("entity_type")))
+    return identified.unionByName(named.select(F.lit("NAME").alias("group_kind"), F.col("name_key").alias("group_key"), "group_scope", "entity_id", "entity_type"))
+
+
+def _group() -> Column:
+    return F.concat_ws("\u0001", "group_kind", F.coalesce("group_scope", F.lit("")), "group_key")
+
+
+def _ambiguous(corpus: Corpus, members: DataFrame, key: str) -> DataFrame:
+    """Members of every key with several, in entity order; blocks follow the range the ids span."""
+    counts = members.groupBy(key).agg(F.count(F.lit(1)).alias("group_rows"))
+    shared = skewed_lookup(members, counts, [key], ["entity_id"]).where(F.col("group_rows") > 1)
     low, high, n = members.agg(F.min("entity_id"), F.max("entity_id"), F.count(F.lit(1))).first()
     width = max(1.0, ((high or 0) - (low or 0) + 1) * MEMBERS_PER_BLOCK / max(1, n))
     block = F.floor((F.col("entity_id") - F.lit(low or 0)) / F.lit(width))
-    placed = ordered_positions(shared, ["name_key"], block, ["entity_id"])
+    placed = ordered_positions(shared, [key], block, ["entity_id"])
     names = corpus.entities.select("entity_id", "canonical_name", "abn")
-    return placed.join(names, "entity_id", "left").select("name_key", "position", "entity_id", "entity_type", "canonical_name", "abn", "group_rows")
+    return placed.join(names, "entity_id", "left")
+
+
+def candidate_rows(corpus: Corpus, members: DataFrame | None = None) -> DataFrame:
+    """Members of every ambiguous name, in entity order."""
+    members = name_members(corpus) if members is None else members
+    return _ambiguous(corpus, members, "name_key").select("name_key", "position", "entity_id", "entity_type", "canonical_name", "abn", "group_rows")
+
+
+def item_candidate_rows(corpus: Corpus, members: DataFrame | None = None) -> DataFrame:
+    """Members of every ambiguous group, identifiers included, keyed as queue items are."""
+    members = group_members(corpus) if members is None else members
+    placed = _ambiguous(corpus, members.withColumn("group", _group()), "group")
+    return placed.select("group_kind", "group_key", "group_scope", "position", "entity_id", "entity_type", "canonical_name", "abn", "group_rows")
 
 
 def apply_queue_decisions(items: DataFrame, decisions: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -301,7 +330,8 @@ def apply_queue_decisions(items: DataFrame, decisions: DataFrame, members: DataF
 
     decisions: holding_key, action (accept | reject | create_new),
     chosen_entity_id, resolved_by, notes, decided_at. The first decision on an
-    open item counts. An accept must name one of the item's candidates, and an
+    open item counts. An accept must name one of the candidates of the item's group
+    (`members`: those of group_members, with every created entity), and an
     item without a name takes no decision: its override would stand for every
     nameless row of the fund.
     """
@@ -309,8 +339,8 @@ def apply_queue_decisions(items: DataFrame, decisions: DataFrame, members: DataF
         F.min_by(F.struct("action", "chosen_entity_id", "resolved_by", "notes", "decided_at"), "decided_at").alias("d")
     )
     picked = items.join(first, "holding_key").select("*", "d.*").drop("d")
-    known = members.select(F.col("name_key").alias("m_name"), F.col("entity_id").alias("m_entity"), F.lit(True).alias("is_candidate"))
-    on = (F.col("name_key") == F.col("m_name")) & (F.col("chosen_entity_id") == F.col("m_entity"))
+    known = members.select(_group().alias("m_group"), F.col("entity_id").alias("m_entity"), F.lit(True).alias("is_candidate")).distinct()
+    on = (_group() == F.col("m_group")) & (F.col("chosen_entity_id") == F.col("m_entity"))
     picked = picked.join(known, on, "left")
     valid = (
         F.when((F.col("status") != "open") | (F.coalesce(F.trim("name_key"), F.lit("")) == ""), F.lit(False))

@@ -153,6 +153,27 @@ def test_queue_upsert(spark):
     assert got == [("a", 4, "open"), ("a", 5, "rejected"), ("b", 3, "open"), ("c", 2, "open")]
 
 
+def test_queue_items_of_any_kind_have_candidates(spark, corpus):
+    """Items of names in a scope, business numbers and registry identifiers point at members, and an accept is checked against them."""
+    rows = [holding("abn", "Nobody", kind="ABN", value="55 666 777 888"), holding("isin", "No One", kind="ISIN", value="AU SHARED1"), holding("name", "Osprey"), holding("other", "Someone", kind="ABN", value="55666777888")]
+    resolved = resolver.resolve(dataclasses.replace(corpus, observations=spark.createDataFrame(rows, OBS)), F.lit("2000-01-01").cast("date"))
+    items = resolver.queue_items(resolved).persist()
+    assert {(r.holding_key, r.group_kind, r.candidate_count) for r in items.collect()} == {("abn", "ABN", 2), ("isin", "ISIN", 2), ("name", "NAME", 2), ("other", "ABN", 2)}
+    listed = resolver.item_candidate_rows(corpus).collect()
+    for item in items.collect():
+        own = [r for r in listed if (r.group_kind, r.group_key, r.group_scope) == (item.group_kind, item.group_key, item.group_scope)]
+        assert sorted((r.position, r.entity_id) for r in own) == ([(1, 4), (2, 5)] if item.group_kind == "NAME" else [(1, 2), (2, 3)])
+        assert {r.group_rows for r in own} == {item.candidate_count}
+    assert {(r.group_key, r.group_scope, r.entity_id) for r in listed if r.group_scope} == {("gull tower", "company", 7), ("gull tower", "company", 8)}
+    decisions = spark.createDataFrame(
+        [("abn", "accept", 3), ("isin", "accept", 2), ("name", "accept", 5), ("other", "accept", 4)], "holding_key string, action string, chosen_entity_id bigint"
+    ).selectExpr("*", "'me' AS resolved_by", "CAST(NULL AS string) AS notes", "DATE'2000-01-01' AS decided_at")
+    done, overrides = resolver.apply_queue_decisions(items, decisions, resolver.group_members(corpus))
+    assert {(r.holding_key, r.is_valid, r.linked_entity) for r in done.collect()} == {("abn", True, 3), ("isin", True, 2), ("name", True, 5), ("other", False, None)}
+    assert {(r.name_key, r.matched_entity_id) for r in overrides.collect()} == {("nobody", 3), ("no one", 2), ("osprey", 5)}
+    items.unpersist()
+
+
 def test_slices_add_up(spark, tiny):
     """A row counts once per entity, whatever the number of links."""
     corpus = DriverTables(spark, tiny).corpus
