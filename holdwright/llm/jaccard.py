@@ -350,7 +350,7 @@ def link_components(docs: DataFrame, percent: int = 75, size: int = 5, key: str
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key is the smallest of their component, all columns as they were."""
+    """The documents whose key is the smallest of their component, all columns as they were; rows with a null key are in no component and stay."""
     drop = stored(link_components(docs, percent, size, key, text).where(F.col(key) != F.col("component_id")).select(F.col(key).cast("long").alias("id")).distinct())
     buckets = text_buckets(docs, text)
 
@@ -363,4 +363,5 @@ def one_of_each(docs: DataFrame, percent: int = 75, size: int = 5, key: str = "d
         yield rows.filter(pa.array(~blocks.holds(known, mix(ids.view(np.uint64)))))
 
     marks = drop.mapInArrow(ask, blocks.SCHEMA)
-    return blocks.by_bucket(marks.unionByName(blocks.row_packs(docs, buckets, key)), work, docs.schema)
+    left = blocks.by_bucket(marks.unionByName(blocks.row_packs(docs, buckets, key)), work, docs.schema)
+    return left.unionByName(docs.where(F.col(key).isNull()))

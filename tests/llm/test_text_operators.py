@@ -83,6 +83,18 @@ def test_jaccard_components(docs, empty):
     assert kept == {i for i in sets if least[i] == i}
 
 
+def test_documents_without_a_key_stay(spark):
+    """A null doc_id is in no group, so its rows go through this stage and the ones behind it."""
+    rng = random.Random(5)
+    a, b = phrase(rng, 40), phrase(rng, 50)
+    rows = [(1, a), (2, a), (3, b), (None, a), (None, None), (None, a)]
+    left = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert Counter(map(tuple, left.collect())) == Counter([(1, a), (3, b), (None, a), (None, a), (None, None)])
+    clean = contamination.decontaminate(left, spark.createDataFrame([(1, phrase(rng, 30))], "item_id long, text string"))
+    assert clean.count() == 5
+    assert bpe.encode(clean, public_tokenizers.path("word_bpe_49k.json")).count() == 5
+
+
 def test_groups_that_no_star_joins(spark):
     """A chain of near copies whose ends are far apart, and documents made of other documents' passages."""
     rng = random.Random(3)
