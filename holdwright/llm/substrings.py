@@ -1,13 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by window hashes, in place of a relative Lempel-Ziv parse.
 
-Every document is parsed against all documents with smaller ids. The reference is
-an index in blocks (ranges of the hash space): first of sampled anchors, the least
+A word goes when a window of 13 words around it occurs in a document with a smaller id. That
+is decided by a join of window hashes in blocks (ranges of the hash space): first of sampled anchors, the least
 5-gram of each window's words, which cuts the work to passages that occur
 elsewhere; then of the window hashes around shared anchors, each with the smallest
-document that has it. A document is cut greedily into factors, the longest runs of
-words whose windows a block knows from an earlier document. A factor shorter than
-a window cannot be a repeat; windows that straddle a factor's border are looked up
-like any other, so a repeat that two references cover between them is found too.
+document that has it. No document is factored against a reference: there is no longest match and no
+position in a reference. Runs of repeated windows are put together from the flags afterwards.
 
 Two equal windows have equal least anchors, so the sampling loses none.
 
