@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdwright.llm import bpe, chat, contamination, fingerprints, jaccard, lines, quality, sql, substrings, surrogates, warc
+from holdwright.llm import bpe, chat, contamination, fingerprints, jaccard, lines, periods, quality, spelling, sql, substrings, surrogates, warc
 from holdwright.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -58,6 +58,14 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.detect(table(spark, folder, "documents"), output="digests", planted=True)
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_surrogates": op2_surrogates,
@@ -69,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
+    "op12_periods": op12_periods,
+    "op13_spelling": op13_spelling,
 }
 
 SQL: dict[str, str] = {
@@ -76,4 +86,5 @@ SQL: dict[str, str] = {
     "op4_jaccard": sql.OP4,
     "op5_chat": sql.OP5,
     "op9_substrings": sql.OP9,
+    "op13_spelling": sql.OP13,
 }

@@ -56,3 +56,25 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id < top
     CASE WHEN page_id < top THEN top END AS refers_to
 FROM r JOIN m USING (d)
 """
+
+_LOWERED = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BYTES = "flatten(list_transform(string_split({c}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END))"
+_STEP = "list_reduce(list_prepend({x}, [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+OP13 = rf"""
+WITH RECURSIVE t AS (SELECT [{_STEP.format(x="CAST(v AS BIGINT)")} FOR v IN range(256)] AS crc),
+r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWERED.format(c="text")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS k, {_BYTES.format(c="doc_id || ':' || run")} AS b FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, x: xor(a >> 8, t.crc[1 + (xor(a, x) & 255)])), 4294967295) AS h FROM d, t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+s AS (SELECT word, n, i, left(word, i) AS p, substr(word, i + 2) AS q FROM (SELECT word, n, CAST(unnest(range(0, length(word))) AS INTEGER) AS i FROM v)),
+e AS (SELECT a.word AS u, b.word AS x, b.n AS m FROM s a JOIN s b ON a.i = b.i AND a.p = b.p AND a.q = b.q AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM s a JOIN v b ON b.word = a.p || a.q
+    UNION SELECT b.word, a.word, a.n FROM s a JOIN v b ON b.word = a.p || a.q),
+g AS (SELECT u, count(*) AS n_near, min({{'m': -m, 'x': x}}) AS top FROM e GROUP BY u),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.m >= 10 * n THEN top.x END AS form, CASE WHEN -top.m >= 10 * n THEN -top.m END AS form_n
+    FROM v LEFT JOIN g ON g.u = v.word),
+c AS (SELECT word, word AS now, 0 AS k FROM f UNION ALL SELECT c.word, f.form, k + 1 FROM c JOIN f ON f.word = c.now WHERE f.form IS NOT NULL),
+z AS (SELECT word, arg_max(now, k) AS root FROM c GROUP BY word)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN z USING (word)
+"""
