@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdwright.llm import bpe, chat, contamination, fingerprints, jaccard, lines, periods, quality, spelling, sql, substrings, surrogates, warc
+from holdwright.llm import bpe, chat, contamination, fingerprints, jaccard, lines, periods, quality, spelling, sql, substrings, surrogates, toxicity, warc
 from holdwright.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -58,6 +58,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
     return periods.detect(table(spark, folder, "documents"), output="digests", planted=True)
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
+    "op11_toxicity": op11_toxicity,
     "op12_periods": op12_periods,
     "op13_spelling": op13_spelling,
 }
