@@ -66,7 +66,7 @@ def resolution_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queue_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return resolver.candidate_rows(DriverTables(spark, sf).corpus)
+    return resolver.item_candidate_rows(DriverTables(spark, sf).corpus)
 
 
 def queue_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,14 +79,20 @@ def queue_list(spark: SparkSession, sf: str) -> DataFrame:
     return resolution_queue(corpus, resolver.queue_items(resolver.resolve(corpus, _now()))).drop("source_file_id", "identifier_type", "identifier_value")
 
 
+def first_candidates(items: DataFrame, corpus) -> DataFrame:
+    """Queue items with the least candidate of their group, whatever kind of evidence it is."""
+    least = resolver.group_members(corpus).groupBy("group_kind", "group_key", "group_scope").agg(F.min("entity_id").alias("first_entity"))
+    least = least.select(F.col("group_kind").alias("f_kind"), F.col("group_key").alias("f_key"), F.col("group_scope").alias("f_scope"), "first_entity")
+    on = (F.col("group_kind") == F.col("f_kind")) & (F.col("group_key") == F.col("f_key")) & F.col("group_scope").eqNullSafe(F.col("f_scope"))
+    return items.join(least, on, "left").drop("f_kind", "f_key", "f_scope")
+
+
 def _decided(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Decisions on name items, chosen by asset class; the SQL states only these, apply_queue_decisions takes items of any kind."""
+    """Decisions on items of every kind, chosen by asset class."""
     corpus = DriverTables(spark, sf).corpus
-    items = written_once(resolver.queue_items(resolver.resolve(corpus, _now())).where(F.col("group_kind") == "NAME"))
-    members = resolver.name_members(corpus)
-    first = members.groupBy("name_key").agg(F.min("entity_id").alias("first_entity"))
+    items = written_once(resolver.queue_items(resolver.resolve(corpus, _now())))
     action = F.when(F.col("asset_class").isin("STANDARD", "MEDIUM"), "accept").when(F.col("asset_class") == "ECONOMY", "reject").when(F.col("asset_class") == "PROMO", "create_new")
-    decisions = items.join(first, "name_key").where(F.col("asset_class").isin("STANDARD", "MEDIUM", "ECONOMY", "PROMO")).select(
+    decisions = first_candidates(items.where(F.col("asset_class").isin("STANDARD", "MEDIUM", "ECONOMY", "PROMO")), corpus).select(
         "holding_key", action.alias("action"), F.when(F.col("asset_class") == "STANDARD", F.col("first_entity")).when(F.col("asset_class") == "MEDIUM", F.lit(-1)).cast("bigint").alias("chosen_entity_id"),
         F.lit("reviewer").alias("resolved_by"), F.when(F.col("fund_code") == "NATION_1", "  checked ").alias("notes"), F.lit("2000-02-01").cast("date").alias("decided_at"),
     )
@@ -213,13 +219,13 @@ st AS (
   FROM h LEFT JOIN idc ON h.id_kind = idc.id_kind AND h.id_value = idc.id_value LEFT JOIN pick p ON h.holding_key = p.holding_key),
 made AS (
   SELECT override_id, {NEW_ID.format(kind='override', key='override_id')} AS entity_id, coalesce(min(new_type), 'company') AS entity_type, {norm('arg_min(raw_name, holding_key)')} AS name_key
-  FROM st WHERE NOT prelinked AND id_hits <> 1 AND NOT override_conflict AND action = 'force_new_entity' GROUP BY 1),
+  FROM st WHERE NOT prelinked AND id_hits <> 1 AND NOT override_conflict AND action = 'force_new_entity' AND target_entity IS NULL GROUP BY 1),
 allnames AS (SELECT entity_id, entity_type, name_key FROM enames UNION SELECT entity_id, entity_type, name_key FROM made)"""
 
 SQL_RES = f"""
 res AS (
   SELECT *, CASE WHEN outcome = 'prelinked' THEN stored_entity WHEN outcome IN ('abn', 'identifier') THEN id_entity WHEN outcome IN ('force_match', 'redirect_to_parent') THEN target_entity
-      WHEN outcome = 'force_new_entity' THEN {NEW_ID.format(kind='override', key='override_id')} WHEN outcome = 'exact_name' THEN scoped_entity END AS resolved_entity
+      WHEN outcome = 'force_new_entity' THEN coalesce(target_entity, {NEW_ID.format(kind='override', key='override_id')}) WHEN outcome = 'exact_name' THEN scoped_entity END AS resolved_entity
   FROM (SELECT *, CASE WHEN prelinked THEN 'prelinked' WHEN id_hits = 1 AND id_kind = 'ABN' THEN 'abn' WHEN id_hits = 1 THEN 'identifier' WHEN override_conflict THEN 'override_conflict'
         WHEN override_id IS NOT NULL THEN action WHEN id_hits > 1 AND id_kind = 'ABN' THEN 'ambiguous_abn' WHEN id_hits > 1 THEN 'ambiguous_identifier'
         WHEN scoped = 1 THEN 'exact_name' WHEN scoped > 1 THEN 'ambiguous_name' ELSE 'unresolved' END AS outcome
@@ -242,13 +248,16 @@ items AS (
     CAST(CASE WHEN outcome = 'ambiguous_name' THEN 0.97 ELSE 1 END AS DECIMAL(6,5)) AS top_candidate_score, 'open' AS status, raw_name, fund_code, asset_class, scope, name_key
   FROM res WHERE starts_with(outcome, 'ambiguous'))"""
 DONE = f"""
+gm AS (SELECT 'NAME' AS k, name_key AS v, s AS sc, entity_id FROM enames, (VALUES (NULL), ('manager'), ('company')) t(s) WHERE s IS NULL OR s = entity_type UNION ALL SELECT id_kind, id_value, NULL, entity_id FROM idm),
+gf AS (SELECT k, v, sc, min(entity_id) AS e FROM gm GROUP BY ALL),
 done AS (
   SELECT *, CASE WHEN NOT is_valid THEN 'open' WHEN action = 'accept' THEN 'accepted' WHEN action = 'reject' THEN 'rejected' ELSE 'created_new' END AS new_status,
     CASE WHEN is_valid AND action = 'accept' THEN chosen WHEN is_valid AND action = 'create_new' THEN {NEW_ID.format(kind='queue', key='holding_key')} END AS linked_entity,
     'Entity resolution queue item ' || holding_key || ' action ' || action || '.' || CASE WHEN fund_code = 'NATION_1' THEN ' Notes: checked' ELSE '' END AS reason
   FROM (SELECT i.*, CASE WHEN asset_class IN ('STANDARD', 'MEDIUM') THEN 'accept' WHEN asset_class = 'ECONOMY' THEN 'reject' ELSE 'create_new' END AS action,
-      CASE WHEN asset_class = 'STANDARD' THEN f.e WHEN asset_class = 'MEDIUM' THEN -1 END AS chosen, asset_class <> 'MEDIUM' AS is_valid
-    FROM items i JOIN (SELECT name_key, min(entity_id) AS e FROM enames GROUP BY 1) f USING (name_key) WHERE group_kind = 'NAME' AND asset_class IN ('STANDARD', 'MEDIUM', 'ECONOMY', 'PROMO')))"""
+      CASE WHEN asset_class = 'STANDARD' THEN gf.e WHEN asset_class = 'MEDIUM' THEN -1 END AS chosen,
+      coalesce(trim(name_key), '') <> '' AND asset_class <> 'MEDIUM' AND (asset_class <> 'STANDARD' OR gf.e IS NOT NULL) AS is_valid
+    FROM items i LEFT JOIN gf ON k = group_kind AND v = group_key AND sc IS NOT DISTINCT FROM group_scope WHERE asset_class IN ('STANDARD', 'MEDIUM', 'ECONOMY', 'PROMO')))"""
 REF = """
 ref AS (SELECT CASE WHEN s_suppkey % 10 = 9 THEN s_name || ' Holdings' ELSE s_name END AS canonical_name, CASE WHEN s_nationkey >= 20 THEN 'company' ELSE 'manager' END AS entity_type,
   lpad(CAST(s_suppkey AS VARCHAR), 11, '0') AS abn, 'seeded' AS confidence_tier FROM supplier)"""
@@ -269,8 +278,10 @@ FROM (SELECT *, coalesce(CASE scope WHEN 'manager' THEN n_manager WHEN 'company'
   count(*) FILTER (outcome = 'ambiguous_name') AS exact_name_ambiguities_queued,
   CAST(coalesce(sum(CASE WHEN outcome IN ('exact_name', 'ambiguous_name', 'unresolved') THEN n_all - scoped END), 0) AS BIGINT) AS exact_name_candidates_rejected,
   count(*) FILTER (resolved_entity IS NULL) AS unresolved_rows_remaining, count(*) FILTER (resolved_entity IS NULL AND name_key IS NOT NULL) AS unresolved_named_rows FROM res"""),
-    "queue_candidates": with_ctes(ENTITIES, query="""SELECT name_key, row_number() OVER (PARTITION BY name_key ORDER BY entity_id) AS position, entity_id, n.entity_type, canonical_name, abn, group_rows
-FROM (SELECT *, count(*) OVER (PARTITION BY name_key) AS group_rows FROM enames) n LEFT JOIN (SELECT entity_id, canonical_name, abn FROM entities) USING (entity_id) WHERE group_rows > 1"""),
+    "queue_candidates": with_ctes(ENTITIES, SQL_ID, query="""SELECT group_kind, group_key, group_scope, row_number() OVER (PARTITION BY group_kind, group_key, group_scope ORDER BY m.entity_id) AS position, m.entity_id, m.entity_type, canonical_name, abn, group_rows
+FROM (SELECT *, count(*) OVER (PARTITION BY group_kind, group_key, group_scope) AS group_rows FROM (
+  SELECT 'NAME' AS group_kind, name_key AS group_key, s AS group_scope, entity_id, entity_type FROM enames, (VALUES (NULL), ('manager'), ('company')) t(s) WHERE s IS NULL OR s = entity_type
+  UNION ALL SELECT id_kind, id_value, NULL, entity_id, entity_type FROM idm LEFT JOIN entities USING (entity_id))) m LEFT JOIN (SELECT entity_id, canonical_name, abn FROM entities) e USING (entity_id) WHERE group_rows > 1"""),
     "queue_items": with_ctes(*FULL, ITEMS, query="SELECT holding_key, group_kind, group_key, group_scope, candidate_count, top_candidate_score, status FROM items"),
     "queue_list": with_ctes(*FULL, ITEMS, query="""SELECT i.holding_key, group_kind, group_key, candidate_count, top_candidate_score, i.status, o.raw_name, o.fund_code, o.fund_name, o.option_name, o.reporting_period FROM items i JOIN obs o USING (holding_key)"""),
     "queue_actions": with_ctes(*FULL, ITEMS, DONE, query="SELECT holding_key, action, is_valid, new_status, linked_entity, reason FROM done"),

@@ -360,8 +360,8 @@ def apply_queue_decisions(items: DataFrame, decisions: DataFrame, members: DataF
     overrides = (
         done.where("is_valid")
         .groupBy("name_key", "fund_code", "asset_class", "scope")
-        .agg(F.max_by(F.struct("override_action", "linked_entity", "resolved_by", "reason"), F.struct("decided_at", "holding_key")).alias("o"))
+        .agg(F.max_by(F.struct("override_action", "linked_entity", "resolved_by", "reason", "decided_at"), F.struct("decided_at", "holding_key")).alias("o"))
         .select("name_key", "fund_code", F.col("asset_class").alias("asset_class_scope"), F.col("scope").alias("entity_type_scope"),
-                F.col("o.override_action").alias("action"), F.col("o.linked_entity").alias("matched_entity_id"), F.col("o.resolved_by").alias("created_by"), F.col("o.reason").alias("reason"))
+                F.col("o.override_action").alias("action"), F.col("o.linked_entity").alias("matched_entity_id"), F.col("o.resolved_by").alias("created_by"), F.col("o.reason").alias("reason"), F.col("o.decided_at").alias("decided_at"))
     )
     return done, overrides
