@@ -131,7 +131,7 @@ class Resolution:
 
     def corpus(self, base: Corpus) -> Corpus:
         """The corpus with everything that earlier runs and decisions found."""
-        link = self.links.rows().select("holding_key", F.col("entity_id").alias("kept_entity"))
+        link = self.links.rows().where(F.col("entity_id").isNotNull()).select("holding_key", F.col("entity_id").alias("kept_entity"))
         seen = skewed_lookup(base.observations, link, ["holding_key"], ["holding_key"])
         seen = seen.withColumn("entity_id", F.coalesce("entity_id", "kept_entity")).drop("kept_entity")
         made = self.created.rows().select(*base.entities.columns)
