@@ -11,7 +11,8 @@ content is a valid .warc.gz file. A record's id is `<urn:x-page:N>`, N being the
 
 Null html is the empty payload. A null url leaves out the target field. Rows with a
 null page_id are responses that nothing refers to. Rows that share both page_id and
-payload are alike: all with the largest page_id are responses. Extra columns are ignored.
+payload are alike: all with the largest page_id are responses. Rows that share a page_id with other
+payloads are records of their own: each payload is judged by itself. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -139,10 +140,10 @@ def write_monolithic(pages: DataFrame, page_id: str = "page_id", url: str = "url
 
 
 def revisits(archives: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(name, page_id, refers_to) of every record whose payload a larger page has too."""
+    """(name, page_id, digest, refers_to) of every record whose payload a larger page has too."""
     listed = archives.select("name", F.explode("manifest").alias("m")).select("name", "m.page_id", "m.digest", "m.length").where(F.col("length") >= least_bytes)
     largest = listed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
-    return skewed_lookup(listed, largest, ["digest"], ["page_id"]).where("page_id < refers_to").select("name", "page_id", "refers_to")
+    return skewed_lookup(listed, largest, ["digest"], ["page_id"]).where("page_id < refers_to").select("name", "page_id", "digest", "refers_to")
 
 
 def normalise(archives: DataFrame, known: DataFrame) -> DataFrame:
@@ -159,7 +160,7 @@ def normalise(archives: DataFrame, known: DataFrame) -> DataFrame:
                     name, refers = own, {}
                 content = b.column(2)[at].as_py()
                 if content is None:
-                    refers.update(zip(b.column(3)[at].as_py(), b.column(4)[at].as_py()))
+                    refers.update(zip(zip(b.column(3)[at].as_py(), b.column(4)[at].as_py()), b.column(5)[at].as_py()))
                     continue
                 members, index, offset = [], [], 0
                 for fields, block in records(inflated(content)):
@@ -170,23 +171,24 @@ def normalise(archives: DataFrame, known: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(members)], pa.binary()), pa.array([index], pa.list_(ENTRY))], names=["name", "content", "index"])
 
     nothing = F.lit(None).cast("array<bigint>")
-    lists = known.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(64))).groupBy("name", "salt").agg(F.collect_list("page_id").alias("pages"), F.collect_list("refers_to").alias("targets"))
-    marks = lists.select("name", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("content"), "pages", "targets")
-    bodies = archives.select("name", F.lit(1).alias("kind"), "content", nothing.alias("pages"), nothing.alias("targets"))
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(64))).groupBy("name", "salt")
+    lists = salted.agg(F.collect_list(F.struct("page_id", "digest", "refers_to")).alias("list"))
+    marks = lists.select("name", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("content"), F.col("list.page_id").alias("pages"), F.col("list.digest").alias("digests"), F.col("list.refers_to").alias("targets"))
+    bodies = archives.select("name", F.lit(1).alias("kind"), "content", nothing.alias("pages"), F.lit(None).cast("array<string>").alias("digests"), nothing.alias("targets"))
     rows = marks.unionByName(bodies).repartition("name").sortWithinPartitions("name", "kind")
     return rows.mapInArrow(run, f"name string, content binary, index {ENTRY_SQL}")
 
 
-def _member(fields: list[tuple[bytes, bytes]], block: bytes, refers: dict[int, int]) -> tuple[bytes, dict]:
+def _member(fields: list[tuple[bytes, bytes]], block: bytes, refers: dict[tuple[int | None, str], int]) -> tuple[bytes, dict]:
     named = dict(fields)
     page = page_of(named[b"WARC-Record-ID"])
     digest = named[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
     kept = [f for f in fields if f[0] != b"Content-Length"]
     kind = "response"
-    if page in refers:
+    if (page, digest) in refers:
         kind = "revisit"
         kept = [(k, b"revisit" if k == b"WARC-Type" else v) for k, v in kept]
-        kept += [(b"WARC-Refers-To", record_id(refers[page])), (b"WARC-Profile", PROFILE)]
+        kept += [(b"WARC-Refers-To", record_id(refers[page, digest])), (b"WARC-Profile", PROFILE)]
         block = block[: block.index(b"\r\n\r\n") + 4]
     packed = zlib.compressobj(6, zlib.DEFLATED, GZIP)
     return packed.compress(record_bytes(kept, block)) + packed.flush(), {"page_id": page, "type": kind, "digest": digest}
