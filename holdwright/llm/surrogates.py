@@ -13,7 +13,7 @@ has got, or that is itself an original of its kind, is refused, and the unit tri
 one, until every unit has its own.
 
 Null text stays null, with no entities. Repeated rows are all rewritten alike. Other columns of the
-input are kept. All of it is column expressions, joins and aggregates; only a
+input are kept, whatever their names; a domain may have any number of labels. All of it is column expressions, joins and aggregates; only a
 document's own entities are gathered, in its row.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdwright.llm.tables import stored
+from holdwright.llm.tables import stored, unused
 from holdwright.operators.skew import skewed_lookup
 
 FEMALE = "Anna|Maria|Sophie|Emma|Julia|Laura|Sarah|Elena|Carmen|Lucía|Claire|Camille|Ingrid|Katharina|Ольга|Анна|Мария|Елена|Ελένη|Μαρία"
@@ -32,7 +32,7 @@ MALE_TITLES = "Mr|Herr|Señor|Sr|Monsieur|г-н|κύριος"
 ANY_TITLES = "Dr|Prof"
 WORD = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -175,20 +175,22 @@ def assign(units: DataFrame, key: str) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The documents with surrogates in their texts, and `n_entities`."""
+    """The documents with surrogates in their texts, and `n_entities` (in place of a column of that name)."""
+    source = docs.drop("n_entities")
+    row, found_matches, found_parts = unused(source, "row", "matches", "parts")
+    matches, parts = F.col(found_matches), F.col(found_parts)
     suspect = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    marked = docs.withColumn("matches", F.when(suspect, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    hit = docs.where(suspect).select(text).withColumn("row", F.sha2(text, 256)).withColumn("matches", F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).where(F.size("matches") > 0)
+    marked = source.withColumn(found_matches, F.when(suspect, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    hit = source.where(suspect).select(F.sha2(text, 256).alias("row"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("matches")).where(F.size("matches") > 0)
     mentions = hit.select("row", F.posexplode("matches").alias("at", "match")).select("row", "at", F.posexplode(_units(F.col("match"))).alias("part", "u"))
     mentions = stored(mentions.select("row", "at", "part", "u.*").distinct())
     given = assign(mentions, key)
     dressed = skewed_lookup(mentions, stored(given), ["kind", "canonical"], ["row", "at"])
-    parts = dressed.select("row", "at", "part", F.concat("before", _dressed(F.col("kind"), F.col("raw"), F.col("surrogate"))).alias("new"))
-    rows = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "part", "new"))).alias("parts"))
-    found = stored(rows)
-    clean = marked.where(F.size("matches") == 0).drop("matches").withColumn("n_entities", F.lit(0).cast("long"))
-    dirty = marked.where(F.size("matches") > 0).join(found, F.sha2(text, 256) == F.col("row"))
+    new = dressed.select("row", "at", "part", F.concat("before", _dressed(F.col("kind"), F.col("raw"), F.col("surrogate"))).alias("new"))
+    found = stored(new.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("at", "part", "new"))).alias(found_parts)))
+    clean = marked.where(F.size(matches) == 0).drop(found_matches).withColumn("n_entities", F.lit(0).cast("long"))
+    dirty = marked.where(F.size(matches) > 0).join(found, F.sha2(text, 256) == F.col(row))
     pieces = F.split(text, ANY, -1)
-    filled = F.transform(pieces, lambda p, at: F.concat(p, F.array_join(F.transform(F.filter("parts", lambda x: x["at"] == at), lambda x: x["new"]), "")))
-    rewritten = dirty.withColumn("n_entities", F.size("matches").cast("long")).withColumn(text, F.array_join(filled, ""))
-    return clean.unionByName(rewritten.select(*docs.columns, "n_entities"))
+    filled = F.transform(pieces, lambda p, at: F.concat(p, F.array_join(F.transform(F.filter(parts, lambda x: x["at"] == at), lambda x: x["new"]), "")))
+    rewritten = dirty.withColumn("n_entities", F.size(matches).cast("long")).withColumn(text, F.array_join(filled, ""))
+    return clean.unionByName(rewritten.select(*source.columns, "n_entities"))

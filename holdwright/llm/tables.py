@@ -47,8 +47,16 @@ def removed(spark: SparkSession, places: list[str]) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def is_empty(df: DataFrame) -> bool:
-    return df.isEmpty()
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def text_buckets(docs: DataFrame, text: str = "text", per_bucket: int = TEXT_BUCKET_CHARS) -> int:
