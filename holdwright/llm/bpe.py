@@ -13,6 +13,7 @@ equal ids stay separate rows; other columns of the input are not touched.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import struct
 import unicodedata
@@ -29,6 +30,7 @@ from holdwright.llm.kernels import slices, strings
 
 WORD_END = "</w>"
 STORE_WORDS = 300_000
+LONG_WORD = 64  # units from which a word is merged alone, over a heap
 NO_PAIR = np.uint64(2**64 - 1)
 # Fixed value: the word pattern of the vocabulary file's pre-tokenizer.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -117,6 +119,7 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         merges = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in self.ranks]
+        self.merged = {(a, b): (rank, c) for rank, (a, b, c) in enumerate(merges)}
         self.pairs = PairCheck(merges, max(self.tokens) + 1)
         self.sound = np.full(max(self.tokens) + 1, -1, np.int8)
         self.store = ChunkStore(self)
@@ -133,11 +136,13 @@ class Vocabulary:
     def merge(self, words: list[list[int]]) -> list[list[int]]:
         """Exact encodings of words given as units.
 
-        All words are merged side by side: in each round every word that still has
-        a mergeable pair merges its best-ranked one, the leftmost on ties.
+        Short words are merged side by side: in each round every word that still has
+        a mergeable pair merges its best-ranked one, the leftmost on ties. Long ones
+        are merged one by one, so that their time grows with their length.
         """
-        out: list[list[int]] = [[] for _ in words]
-        active = np.arange(len(words))
+        out: list[list[int]] = [self.merge_long(w) if len(w) > LONG_WORD else [] for w in words]
+        active = np.array([k for k, w in enumerate(words) if len(w) <= LONG_WORD], np.int64)
+        words = [words[k] for k in active.tolist()]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.fromiter((u for w in words for u in w), np.int64, int(lengths.sum()))
         while len(active):
@@ -161,6 +166,28 @@ class Vocabulary:
             flat, active, lengths = flat[keep], active[~done], lengths[~done] - 1
         return out
 
+    def merge_long(self, units: list[int]) -> list[int]:
+        """Exact encoding of one word: pairs wait in a heap by rank and place, units are linked to their neighbours."""
+        merges = self.merged
+        now, n = list(units), len(units)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], k, now[k], now[k + 1], found[1]) for k in range(n - 1) if (found := merges.get((now[k], now[k + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, k, left, right, made = heapq.heappop(heap)
+            other = after[k]
+            if now[k] != left or other >= n or now[other] != right:
+                continue  # one of the two has been merged since
+            now[k], now[other] = made, -1
+            after[k] = after[other]
+            if after[k] < n:
+                before[after[k]] = k
+                if found := merges.get((made, now[after[k]])):
+                    heapq.heappush(heap, (found[0], k, made, now[after[k]], found[1]))
+            if (p := before[k]) >= 0 and (found := merges.get((now[p], made))):
+                heapq.heappush(heap, (found[0], p, now[p], made, found[1]))
+        return [u for u in now if u >= 0]
+
     def token_units(self, token: int) -> list[int]:
         text = self.tokens[token]
         if not text.endswith(WORD_END) or text == WORD_END:
@@ -181,7 +208,7 @@ class Vocabulary:
         text = self.spelled(word)
         out, at, n = [], 0, len(text)
         while at < n:
-            if (whole := self.ids.get(text[at:] + WORD_END)) is not None:
+            if n - at <= self.longest and (whole := self.ids.get(text[at:] + WORD_END)) is not None:
                 out.append(whole)
                 break
             to = min(n - 1, at + self.longest)
