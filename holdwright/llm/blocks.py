@@ -160,6 +160,35 @@ def by_bucket(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
 
 
+def by_bucket_packed(rows: DataFrame, values: Callable, packed: Callable, schema: str, most: int) -> DataFrame:
+    """Like `by_bucket`, for work that sends entries on: `values(sorted marks, ids, rows)` yields (hashes, ids) arrays,
+    which are held over packs and buckets until there are `most`, and go out as the rows `packed(hashes, ids)`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, keys, known = None, [], None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for b in batches:
+            for row in b.to_pylist():
+                if row["part"] != part:
+                    part, keys, known = row["part"], [], None
+                if row["kind"] == MARK:
+                    keys.append(np.frombuffer(row["keys"], np.uint64))
+                    continue
+                if known is None:
+                    known = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+                for found in values(known, np.frombuffer(row["ids"], np.int64), open_pack(row["keys"])):
+                    held.append(found)
+                    size += len(found[0])
+                    if size >= most:
+                        yield batch(list(packed(*map(np.concatenate, zip(*held)))))
+                        held, size = [], 0
+        if held:
+            yield batch(list(packed(*map(np.concatenate, zip(*held)))))
+
+    return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
+
+
 def holds(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the keys are among the sorted known ones."""
     if not len(known) or not len(keys):

@@ -122,6 +122,7 @@ def kept_bytes(words: Words, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
 def repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
     """Marks of every (window, document) that an earlier document has too, by bucket; and the number of buckets."""
     buckets = text_buckets(docs, text)
+    most = blocks.SLICE_ENTRIES
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -136,7 +137,7 @@ def repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
                 changed[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
                 held.append((values[changed], ids[at + owner[changed]]))
                 size += int(changed.sum())
-                if size >= blocks.SLICE_ENTRIES:
+                if size >= most:
                     yield blocks.batch(list(_anchor_rows(*map(np.concatenate, zip(*held)), buckets)))
                     held, size = [], 0
         if held:
@@ -148,7 +149,7 @@ def repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
         several[:-1] |= ~head[1:]
         return blocks.marks(bucket_of(ids[several], buckets), mark(hashes[several], ids[several]))
 
-    def windows(known: np.ndarray, ids: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def windows(known: np.ndarray, ids: np.ndarray, rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at, piece in slices(strings(rows.column(1))):
             words = words_of(piece)
             hashes = words.hashes()
@@ -156,7 +157,7 @@ def repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
             owner = ids[at + words.document()[starts]]
             near = blocks.holds(known, mark(window_anchors(hashes, window)[starts], owner)) if len(starts) else np.zeros(0, bool)
             if near.any():
-                yield blocks.batch(list(_window_rows(grams(hashes, window)[starts[near]], owner[near], buckets)))
+                yield grams(hashes, window)[starts[near]], owner[near]
 
     def earlier(part: int, hashes: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
         hashes, ids, head = split_local(hashes, ids)
@@ -164,7 +165,8 @@ def repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
 
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
     shared = blocks.by_range(source.mapInArrow(anchors, blocks.SCHEMA), shared_anchors)
-    around = blocks.by_bucket(shared.unionByName(blocks.row_packs(source, buckets, "key")), windows, blocks.SCHEMA)
+    packed = lambda hashes, ids: _window_rows(hashes, ids, buckets)
+    around = blocks.by_bucket_packed(shared.unionByName(blocks.row_packs(source, buckets, "key")), windows, packed, blocks.SCHEMA, most)
     return blocks.by_range(around, earlier), buckets
 
 
