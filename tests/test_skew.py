@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from holdwright.operators.merge_views import merge_duplicate_views
 from holdwright.operators.paging import page, page_of_each, top_of_each
-from holdwright.operators.skew import fill_forward, ordered_positions, skewed_lookup
+from holdwright.operators.skew import fill_forward, held_state, ordered_positions, skewed_lookup
 from holdwright.operators.versions import version_chain
 
 
@@ -101,3 +101,30 @@ def test_two_precise_rows_are_not_merged(spark):
     df = spark.createDataFrame(rows, "k string, row int, view_role string, attr string")
     got = sorted((r.row, r.attr, r.is_merged) for r in merge_duplicate_views(df, ["k"], "row", ["attr"]).collect())
     assert got == [(1, None, False), (2, None, False), (3, "x", False), (4, "y", True)]
+
+
+def test_state_held_over_blocks_with_resets(spark):
+    """Sets, resets and silent stretches against a loop, with blocks of a few rows."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for path in ("a", "b", "c"):
+        state = {"x": None, "y": None}
+        for n in range(1, 400):
+            mark = rng.choice(["set", "reset", "y", "", "", "", "", ""]) if path != "c" else ""
+            if mark == "set":
+                state = {"x": f"{path}{n}", "y": None}
+            elif mark == "reset":
+                state["x"] = None
+            elif mark == "y":
+                state["y"] = n
+            rows.append((path, n, mark))
+            want[path, n] = (state["x"], state["y"])
+    df = spark.createDataFrame(rows, "path string, n int, mark string").repartition(4)
+    mark = F.col("mark")
+    nothing = F.struct(F.lit(None).cast("string").alias("v"))
+    x = F.when(mark == "set", F.struct(F.concat("path", F.col("n").cast("string")).alias("v"))).when(mark == "reset", nothing)
+    y = F.when(mark == "y", F.struct(F.col("n").alias("v"))).when(mark == "set", F.struct(F.lit(None).cast("int").alias("v")))
+    for size in (7, 1_000):
+        got = held_state(df, ["path"], F.floor(F.col("n") / size), ["n"], {"x": x, "y": y})
+        assert got.columns == ["path", "n", "mark", "x", "y"]
+        assert {(r.path, r.n): (r.x, r.y) for r in got.collect()} == want
