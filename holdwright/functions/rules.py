@@ -216,26 +216,6 @@ def search_score(source_priority: Column, value: Column, query: str, query_norma
     return source_priority + strength
 
 
-def override_specificity(
-    o_fund: Column, h_fund: Column, o_class: Column, h_class: Column, o_type: Column, h_scope: Column,
-    has_target: Column, expired: Column,
-) -> Column:
-    """How narrowly an override fits a holding; NULL when it does not apply."""
-    no = F.lit(False)
-    blocked = (
-        expired
-        | F.coalesce(o_fund != h_fund, no)
-        | F.coalesce(o_class != h_class, no)
-        | F.coalesce(o_type != h_scope, no)
-    )
-    points = (
-        F.when(o_fund.isNotNull(), 1).otherwise(0)
-        + F.when(o_class.isNotNull(), 1).otherwise(0)
-        + F.when(o_type.isNotNull() & (F.coalesce(o_type == h_scope, no) | has_target), 1).otherwise(0)
-    )
-    return F.when(~blocked, points)
-
-
 def expired(expires_at: Column, now: Column) -> Column:
     return F.coalesce(expires_at <= now, F.lit(False))
 

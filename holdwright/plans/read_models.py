@@ -227,42 +227,48 @@ def explorer_facets(corpus: Corpus) -> DataFrame:
     return funds.unionByName(classes).where(F.col("facet_value") != "").groupBy("facet", "facet_value").agg(F.min("label").alias("label"))
 
 
-def _counted(rows: DataFrame, dims: Sequence[str], links: Sequence[str]) -> DataFrame:
-    """Rows counted per (name, links, dims): the shared input of both match branches."""
-    return (
-        rows.withColumn("name_key", normalise_name(F.col("raw_name")))
-        .groupBy("name_key", *[F.col(c).alias(f"link_{c}") for c in links], *dims)
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+def _named_counts(rows: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Rows counted per (name, dims), whoever they are linked to."""
+    return rows.groupBy("name_key", *dims).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _alias_matches(counted: DataFrame, corpus: Corpus, dims: Sequence[str], links: Sequence[str], entity_type: str | None) -> DataFrame:
-    """Rows that belong to an entity by name alone.
+def _linked_counts(rows: DataFrame, dims: Sequence[str], links: Sequence[str]) -> DataFrame:
+    """Rows counted per (linked entity, name, dims); a row counts once per entity."""
+    ids = F.array_distinct(F.array_compact(F.array(*links)))
+    return rows.select("name_key", *dims, F.explode(ids).alias("entity_id")).groupBy("entity_id", "name_key", *dims).agg(F.count(F.lit(1)).alias("rows"))
 
-    The counts meet the names, so copies of one name never multiply with the
-    entities that share it.
-    """
+
+def _typed_names(corpus: Corpus, entity_type: str | None) -> DataFrame:
     names = entity_names(corpus)
-    names = names if entity_type is None else names.where(F.col("entity_type") == entity_type)
-    linked = F.lit(False)
-    for c in links:
-        linked = linked | F.coalesce(F.col(f"link_{c}") == F.col("entity_id"), F.lit(False))
-    return counted.join(names, "name_key").where(~linked).select("entity_id", *dims, "rows")
+    return (names if entity_type is None else names.where(F.col("entity_type") == entity_type)).select("entity_id", "name_key")
+
+
+def name_only_slices(rows: DataFrame, corpus: Corpus, dims: Sequence[str], links: Sequence[str], entity_type: str | None = None) -> DataFrame:
+    """Rows that belong to an entity by name alone: all rows of its names less those of them that are linked to it.
+
+    Links are no part of the counts that meet the entities of a name, so a hot name costs one row per
+    (entity, dims), however many links its rows have.
+    """
+    keyed = rows.withColumn("name_key", normalise_name(F.col("raw_name")))
+    names = _typed_names(corpus, entity_type)
+    every = _named_counts(keyed, dims).join(names, "name_key").select("entity_id", *dims, "rows")
+    linked = _linked_counts(keyed, dims, links).join(names, ["entity_id", "name_key"], "left_semi").select("entity_id", *dims, (-F.col("rows")).alias("rows"))
+    return every.unionByName(linked).groupBy("entity_id", *dims).agg(F.sum("rows").alias("rows")).where("rows > 0")
 
 
 def entity_slices(corpus: Corpus, dims: Sequence[str], links: Sequence[str] = LINKS, entity_type: str | None = None) -> DataFrame:
-    """Row counts per entity and dimensions: linked rows plus rows matched by name.
+    """Row counts per entity and dimensions: rows of its names, and rows linked to it under other names.
 
-    Every holding counts once per entity: the link columns are de-duplicated per
-    row, and the name branch leaves out entities the row is already linked to.
-    Both branches read the same counts, whose exchange Spark reuses.
+    Every holding counts once per entity: the link columns are de-duplicated per row, and
+    linked rows of the entity's own names are in the counts of these names already.
     """
-    counted = _counted(current_named(corpus), dims, links)
-    ids = F.array_distinct(F.array_compact(F.array(*[f"link_{c}" for c in links])))
-    linked = counted.select(F.explode(ids).alias("entity_id"), *dims, "rows").groupBy("entity_id", *dims).agg(F.sum("rows").alias("rows"))
+    keyed = current_named(corpus).withColumn("name_key", normalise_name(F.col("raw_name")))
+    names = _typed_names(corpus, entity_type)
+    named = _named_counts(keyed, dims).join(names, "name_key").select("entity_id", *dims, "rows")
+    linked = _linked_counts(keyed, dims, links).join(names, ["entity_id", "name_key"], "left_anti")
     if entity_type is not None:
         linked = linked.join(corpus.entities.where(F.col("entity_type") == entity_type).select("entity_id"), "entity_id", "left_semi")
-    return linked.unionByName(_alias_matches(counted, corpus, dims, links, entity_type))
+    return named.unionByName(linked.select("entity_id", *dims, "rows"))
 
 
 def entity_fund_periods(corpus: Corpus) -> DataFrame:
@@ -407,7 +413,7 @@ def manager_roles(corpus: Corpus) -> DataFrame:
     # rows matched by name alone are listed as direct; their kind ignores links
     kind = (F.col("ownership_pct").isNotNull() | (F.col("disclosure_completeness") == "fully_disclosed")).alias("owned")
     named = current_named(corpus).select("*", kind)
-    by_name = _alias_matches(_counted(named, ["fund_code", "owned"], LINKS), corpus, ["fund_code", "owned"], LINKS, "manager").select(
+    by_name = name_only_slices(named, corpus, ["fund_code", "owned"], LINKS, "manager").select(
         "entity_id", "fund_code", "rows", F.lit(False).alias("manager"), F.lit(False).alias("issuer"), F.lit(True).alias("direct"),
         F.col("owned").alias("owner"), F.lit(None).cast("decimal(34,9)").alias("manager_value"),
     )

@@ -91,37 +91,64 @@ def keyed_holdings(observations: DataFrame) -> DataFrame:
 SCOPE_KEYS = ["name_key", "fund_code", "asset_class", "scope"]
 
 
-def picked_overrides(holdings: DataFrame, corpus: Corpus, now: Column) -> DataFrame:
-    """The override for each distinct (name, fund, class, scope) of the holdings.
+def _lattice_key(name: Column, fund: Column, asset_class: Column, kind: Column, untyped: Column) -> Column:
+    """One text for a point of the lattice; NULL stands for a wildcard."""
+    point = F.struct(name.alias("n"), fund.alias("f"), asset_class.alias("c"), kind.alias("t"), untyped.alias("u"))
+    return F.to_json(point, {"ignoreNullFields": "false"})
+
+
+def override_lattice(corpus: Corpus, now: Column) -> DataFrame:
+    """Live overrides at the points of the wildcard lattice, the most specific of each point.
 
-    Holdings are reduced to their distinct scopes and overrides to their
-    distinct scope tuples before they meet, so a hot name joins a handful of
-    rows. Several equally specific overrides are a conflict.
+    An override stands at the point of its own fund, class and type, wildcards where it has none. A holding
+    of no type takes overrides of any type, so each override also stands at a point for these.
     """
     target_type = corpus.entities.select(F.col("entity_id").alias("matched_entity_id"), F.col("entity_type").alias("target_type"))
-    stored = corpus.overrides.join(target_type, "matched_entity_id", "left")
-    tuples = stored.groupBy(
-        F.col("name_key").alias("o_name"), F.col("fund_code").alias("o_fund"), F.col("asset_class_scope").alias("o_class"),
-        F.col("entity_type_scope").alias("o_type"), F.col("matched_entity_id").isNotNull().alias("o_target"),
-        rules.expired(F.col("expires_at"), now).alias("o_expired"),
-    ).agg(
-        F.count(F.lit(1)).alias("o_count"),
+    live = corpus.overrides.where(~rules.expired(F.col("expires_at"), now)).join(target_type, "matched_entity_id", "left")
+    given = lambda c: F.col(c).isNotNull()
+    points = lambda typed: given("fund_code").cast("int") + given("asset_class_scope").cast("int") + typed.cast("int")
+    kind = F.col("entity_type_scope")
+    places = F.explode(F.array(
+        F.struct(kind.alias("t"), F.lit(False).alias("u"), points(given("entity_type_scope")).alias("specificity")),
+        F.struct(F.lit(None).cast("string").alias("t"), F.lit(True).alias("u"), points(given("entity_type_scope") & given("matched_entity_id")).alias("specificity")),
+    ))
+    placed = live.select("*", places.alias("at"))
+    keyed = placed.withColumn("point", _lattice_key(F.col("name_key"), F.col("fund_code"), F.col("asset_class_scope"), F.col("at.t"), F.col("at.u")))
+    counted = keyed.groupBy("point", F.col("at.specificity").alias("specificity")).agg(
+        F.count(F.lit(1)).alias("ties"),
         F.min("override_id").alias("override_id"),
         F.min_by("action", "override_id").alias("action"),
         F.min_by("matched_entity_id", "override_id").alias("target_entity"),
-        F.bool_or(F.col("target_type") != F.col("entity_type_scope")).alias("type_conflict"),
+        F.min_by("entity_type_scope", "override_id").alias("new_entity_type"),
+        F.bool_or(F.col("target_type") != kind).alias("type_conflict"),
     )
+    best = F.max_by(F.struct("specificity", "ties", "override_id", "action", "target_entity", "new_entity_type", "type_conflict"), "specificity").alias("best")
+    return counted.groupBy("point").agg(best).select("point", "best.*")
+
+
+def lattice_points(scopes: DataFrame) -> DataFrame:
+    """The points of the lattice that each scope may fit, eight at most."""
+    nothing = F.lit(None).cast("string")
+    either = lambda c: F.array_distinct(F.array(F.col(c), nothing))
+    wide = scopes.withColumn("f", F.explode(either("fund_code"))).withColumn("c", F.explode(either("asset_class"))).withColumn("t", F.explode(either("scope")))
+    return wide.withColumn("point", _lattice_key(F.col("name_key"), F.col("f"), F.col("c"), F.col("t"), F.col("scope").isNull())).drop("f", "c", "t")
+
+
+def picked_overrides(holdings: DataFrame, corpus: Corpus, now: Column) -> DataFrame:
+    """The override for each distinct (name, fund, class, scope) of the holdings.
+
+    Holdings are reduced to their distinct scopes. A scope asks the eight points of the
+    lattice it may fit, by equality, so the join gives at most eight rows for a scope however many
+    overrides share its name. Several equally specific overrides are a conflict.
+    """
     scopes = holdings.where(F.col("name_key").isNotNull()).select(*SCOPE_KEYS).distinct()
-    points = rules.override_specificity(
-        F.col("o_fund"), F.col("fund_code"), F.col("o_class"), F.col("asset_class"), F.col("o_type"), F.col("scope"), F.col("o_target"), F.col("o_expired")
-    )
-    fits = scopes.join(tuples, F.col("name_key") == F.col("o_name")).withColumn("specificity", points).where(F.col("specificity").isNotNull())
+    fits = lattice_points(scopes).join(override_lattice(corpus, now), "point")
     ranked = fits.groupBy(*SCOPE_KEYS, "specificity").agg(
-        F.sum("o_count").alias("ties"),
+        F.sum("ties").alias("ties"),
         F.min("override_id").alias("override_id"),
         F.min_by("action", "override_id").alias("action"),
         F.min_by("target_entity", "override_id").alias("target_entity"),
-        F.min_by("o_type", "override_id").alias("new_entity_type"),
+        F.min_by("new_entity_type", "override_id").alias("new_entity_type"),
         F.bool_or("type_conflict").alias("type_conflict"),
     )
     best = F.max_by(F.struct("override_id", "action", "target_entity", "new_entity_type", "ties", "type_conflict", "specificity"), "specificity")
