@@ -32,10 +32,67 @@ def drift_score(properties: Column) -> Column:
     return F.size(properties) * 3
 
 
-def drift_candidates(profiles: DataFrame, versions: DataFrame, **compare) -> DataFrame:
-    """Every file against every approved version of its layout."""
-    pairs = profiles.join(versions, "layout_key")
-    return pairs.withColumn("drift", drifted_properties(**compare)).withColumn("drift_score", drift_score(F.col("drift")))
+def _shown(values: dict[str, Column]) -> Column:
+    return F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]), {"ignoreNullFields": "false"})
+
+
+def _compared(always: Sequence[str], optional: Sequence[str], fingerprint: bool) -> tuple[list[tuple[str, str, str]], list[tuple[str, str, str]]]:
+    """(name, file column, version column) of the properties that must be equal, and of those a version may leave open."""
+    named = lambda ps: [(p, f"observed_{p}", f"expected_{p}") for p in ps]
+    return named(always), [*([("schema_fingerprint", "schema_fingerprint", "expected_fingerprint")] if fingerprint else []), *named(optional)]
+
+
+def profile_classes(profiles: DataFrame, always: Sequence[str] = ALWAYS, optional: Sequence[str] = WHEN_EXPECTED, fingerprint: bool = True) -> DataFrame:
+    """Profiles with the class of files that show the same: `profile_class`."""
+    fixed, opened = _compared(always, optional, fingerprint)
+    return profiles.withColumn("profile_class", F.sha2(_shown({"layout": F.col("layout_key"), **{n: F.col(c) for n, c, _ in (*fixed, *opened)}}), 256))
+
+
+def mapping_candidates(
+    profiles: DataFrame, versions: DataFrame, file_id: str = "source_file_id", always: Sequence[str] = ALWAYS, optional: Sequence[str] = WHEN_EXPECTED, fingerprint: bool = True,
+) -> DataFrame:
+    """The versions that matter for each file: all without drift, or else the least drifted one, with `drift` and its score.
+
+    Files that show the same are one class, and only classes meet versions. First by one key: all
+    properties of the class, with and without each one a version may leave open. Classes that no version
+    fits ask an index of (layout, property, value) for the versions that share a value with them; the one with most
+    agreeing properties is nearest, the earlier seed on ties. A version that shares no value can be nearest only by the number of
+    properties it leaves open, so one of these per layout is enough. A file's fingerprint must not be NULL.
+    """
+    fixed, opened = _compared(always, optional, fingerprint)
+    classed = profile_classes(profiles, always, optional, fingerprint)
+    shows = ["layout_key", *[c for _, c, _ in (*fixed, *opened)]]
+    kinds = classed.select("profile_class", *shows).dropDuplicates(["profile_class"])
+    expected = [c for *_, c in (*fixed, *opened)]
+    known = versions.select("layout_key", "mapping_version_id", "seed_position", *expected)
+
+    def key(of: int, masked: Sequence[Column]) -> Column:
+        values = {"layout": F.col("layout_key"), **{p[0]: F.col(p[of]) for p in fixed}}
+        for (name, *_), p, is_open in zip(opened, opened, masked):
+            values[name] = F.when(~is_open, F.col(p[of]))
+            values[f"{name}_open"] = is_open
+        return F.sha2(_shown(values), 256)
+
+    masks = [[F.lit(bool(k >> j & 1)) for j in range(len(opened))] for k in range(1 << len(opened))]
+    asked = kinds.select("profile_class", F.explode(F.array(*[key(1, m) for m in masks])).alias("all_of_it"))
+    kept = known.select("mapping_version_id", "seed_position", key(2, [F.col(c).isNull() for *_, c in opened]).alias("all_of_it"))
+    exact = asked.join(kept, "all_of_it").select("profile_class", "mapping_version_id", "seed_position")
+
+    drifted = kinds.join(exact.select("profile_class").distinct(), "profile_class", "left_anti")
+    text = lambda name, value: F.concat_ws("\u0001", F.col("layout_key"), F.lit(name), F.coalesce(F.to_json(F.struct(value.alias("v"))), F.lit("")))
+    ask = F.explode(F.array(*[text(n, F.col(c)) for n, c, _ in (*fixed, *opened)]))
+    posts = F.array_compact(F.array(*[text(n, F.col(c)) for n, _, c in fixed], *[F.when(F.col(c).isNotNull(), text(n, F.col(c))) for n, _, c in opened]))
+    left_open = sum((F.col(c).isNull().cast("int") for *_, c in opened), F.lit(0))
+    index = known.select("mapping_version_id", "seed_position", left_open.alias("left_open"), F.explode(posts).alias("shown"))
+    shared = drifted.select("profile_class", ask.alias("shown")).join(index, "shown").groupBy("profile_class", "mapping_version_id", "seed_position", "left_open").agg(F.count(F.lit(1)).alias("agreeing"))
+    openest = known.groupBy("layout_key").agg(F.min_by(F.struct("mapping_version_id", "seed_position", left_open.alias("left_open")), F.struct(-left_open, "seed_position")).alias("v")).select("layout_key", "v.*")
+    alone = drifted.select("profile_class", "layout_key").join(openest, "layout_key").select("profile_class", "mapping_version_id", "seed_position", "left_open", F.lit(0).cast("bigint").alias("agreeing"))
+    best = F.min_by(F.struct("mapping_version_id", "seed_position"), F.struct(-(F.col("agreeing") + F.col("left_open")), "seed_position")).alias("v")
+    nearest = shared.unionByName(alone).groupBy("profile_class").agg(best).select("profile_class", "v.*")
+
+    chosen = exact.unionByName(nearest).join(known.drop("seed_position", "layout_key"), "mapping_version_id").join(kinds, "profile_class")
+    judged = chosen.withColumn("drift", drifted_properties(always, optional, fingerprint)).withColumn("drift_score", drift_score(F.col("drift")))
+    return classed.select(file_id, "profile_class").join(judged.select("profile_class", "mapping_version_id", "seed_position", "drift", "drift_score"), "profile_class").drop("profile_class")
 
 
 def nearest_version(candidates: DataFrame, file_id: str = "source_file_id") -> DataFrame:
@@ -91,9 +148,9 @@ def enforce(profiles: DataFrame, versions: DataFrame, rows: DataFrame, taxonomy:
     mismatch approves the file. Otherwise the near miss with the fewest
     problems is named, taxonomy ahead of drift, and the file goes to review.
     Rows are reduced to their distinct taxonomy keys before they meet the
-    versions. A layout without approved versions passes.
+    versions that fit. A layout without approved versions passes.
     """
-    candidates = drift_candidates(profiles, versions, **compare)
+    candidates = mapping_candidates(profiles, versions, **compare)
     shape = ["source_asset_class_raw", "source_subclass_raw", "source_section_raw", "is_aggregate", "asset_class_code", "disclosure_completeness"]
     keys = rows.groupBy("source_file_id", *shape).agg(F.count(F.lit(1)).alias("copies"))
     clean = candidates.where(F.col("drift_score") == 0).select("source_file_id", "mapping_version_id")

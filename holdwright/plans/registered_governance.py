@@ -144,7 +144,7 @@ COMPARE = {"always": ["asset_classes", "internal_external"], "optional": ["optio
 
 def drift_compare(spark: SparkSession, sf: str) -> DataFrame:
     t = DriverTables(spark, sf)
-    near = governance.nearest_version(governance.drift_candidates(_profiles(t.observations), _versions(t), **COMPARE))
+    near = governance.nearest_version(governance.mapping_candidates(_profiles(t.observations), _versions(t), **COMPARE))
     return near.select("source_file_id", "mapping_version_id", F.concat_ws(",", "drift").alias("drift"), F.col("drift_score").cast("bigint").alias("drift_score"))
 
 
