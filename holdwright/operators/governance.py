@@ -168,6 +168,34 @@ def enforce(profiles: DataFrame, versions: DataFrame, rows: DataFrame, taxonomy:
     return out.withColumn("ingest_status", F.when(F.col("review_reason").isNull(), "loaded").otherwise("review_required"))
 
 
+DETAIL = "source_file_id bigint, mapping_version_id string, review_reason string, position int, property string, expected string, actual string, source_row_number int"
+
+
+def review_details(
+    decided: DataFrame, versions: DataFrame, rows: DataFrame, taxonomy: DataFrame, order: Sequence[str] = ("source_row_number",),
+    always: Sequence[str] = ALWAYS, optional: Sequence[str] = WHEN_EXPECTED, fingerprint: bool = True, limit: int = vocab.TAXONOMY_REPORT_LIMIT,
+) -> DataFrame:
+    """What made a file wait, one row per difference: expected and actual value, and the row where there is one.
+
+    Drift: every property of the nearest version that differs, in the order of comparison. Taxonomy: the first
+    `limit` mismatching rows of the file against its version.
+    """
+    fixed, opened = _compared(always, optional, fingerprint)
+    properties = [*[p for p in opened if p[0] == "schema_fingerprint"], *fixed, *[p for p in opened if p[0] != "schema_fingerprint"]]
+    told = versions.select("mapping_version_id", *[F.col(c) for *_, c in properties])
+    one = lambda c: F.col(c).cast("string") if c.endswith("fingerprint") else F.array_join(c, "|")
+    cells = F.array(*[F.struct(F.lit(n).alias("property"), one(wanted).alias("expected"), one(seen).alias("actual")) for n, seen, wanted in properties])
+    drifted = decided.where(F.col("review_reason") == "schema_drift").join(told, "mapping_version_id")
+    differing = F.filter(cells, lambda x: F.array_contains("drift", x["property"]))
+    listed = drifted.select("source_file_id", "mapping_version_id", "review_reason", F.posexplode(differing).alias("at", "x"))
+    nowhere = F.lit(None).cast("int").alias("source_row_number")
+    shown = listed.select("source_file_id", "mapping_version_id", "review_reason", (F.col("at") + 1).alias("position"), "x.property", "x.expected", "x.actual", nowhere)
+    waiting = decided.where(F.col("review_reason") == "unapproved_taxonomy_mapping").select("source_file_id", "mapping_version_id", "review_reason")
+    found = reported_issues(taxonomy_issues(rows.join(waiting, "source_file_id"), taxonomy), "source_file_id", [F.asc(c) for c in order], limit)
+    rows_of = found.select("source_file_id", "mapping_version_id", "review_reason", F.col("rank").cast("int").alias("position"), F.col("reason").alias("property"), "expected", "actual", F.col("source_row_number").cast("int").alias("source_row_number"))
+    return shown.unionByName(rows_of)
+
+
 def missing_keys(required: Sequence[str], present: Column) -> Column:
     return F.array_except(F.array(*[F.lit(k) for k in required]), present)
 

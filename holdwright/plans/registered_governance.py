@@ -158,6 +158,17 @@ def mapping_decision(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("source_file_id", "mapping_version_id", "score", "review_reason", "ingest_status")
 
 
+def review_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Differences and mismatching rows of every file that waits for review."""
+    t = DriverTables(spark, sf)
+    taxonomy = _taxonomy(t).withColumnRenamed("mapping_version_id", "layout_key").join(_versions(t).select("layout_key", "mapping_version_id"), "layout_key")
+    seen = written_once(t.observations.select("source_file_id", "layout_key", "holding_key", "source_row_number", "source_asset_class_raw", "source_subclass_raw", "is_aggregate", "asset_class_code", "disclosure_completeness"))
+    rows = _rows_for_taxonomy(seen).drop("mapping_version_id")
+    decided = written_once(governance.enforce(_profiles(seen), _versions(t), rows, taxonomy, **COMPARE))
+    out = governance.review_details(decided, _versions(t), rows, taxonomy, ["source_row_number", "holding_key"], **COMPARE)
+    return out.withColumn("position", F.col("position").cast("bigint")).withColumn("source_row_number", F.col("source_row_number").cast("bigint"))
+
+
 def review_status(spark: SparkSession, sf: str) -> DataFrame:
     """Review items of unloaded files after the decisions their priority stands for."""
     t = DriverTables(spark, sf)
@@ -261,6 +272,7 @@ QUERIES = {
     "taxonomy_validate": taxonomy_validate,
     "drift_compare": drift_compare,
     "mapping_decision": mapping_decision,
+    "review_detail": review_detail,
     "review_status": review_status,
     "review_queue_open": review_queue_open,
     "duplicate_view_merge": duplicate_view_merge,
@@ -296,6 +308,11 @@ vers AS (SELECT * FROM (VALUES (0, ['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMAL
   (2, ['ECONOMY', 'LARGE'], ['Externally Managed', 'Internally Managed'], true), (3, ['MEDIUM'], [], false)) x(n, classes, styles, total)),
 cand AS (SELECT p.source_file_id, p.layout_key, n, concat_ws(',', CASE WHEN p.classes <> v.classes THEN 'asset_classes' END, CASE WHEN p.styles <> v.styles THEN 'internal_external' END, CASE WHEN v.total IS NOT NULL AND p.has_total <> v.total THEN 'option_names' END) AS drift,
   3 * (CASE WHEN p.classes <> v.classes THEN 1 ELSE 0 END + CASE WHEN p.styles <> v.styles THEN 1 ELSE 0 END + CASE WHEN v.total IS NOT NULL AND p.has_total <> v.total THEN 1 ELSE 0 END) AS drift_score FROM profiles p, vers v)"""
+DECIDED = """
+dec AS (
+  SELECT source_file_id, layout_key || '-' || CAST(n AS VARCHAR) AS mapping_version_id, n, stage FROM (SELECT *, row_number() OVER (PARTITION BY source_file_id ORDER BY stage, score, n) AS rn FROM (
+    SELECT *, CASE stage WHEN 2 THEN drift_score WHEN 1 THEN 1 + mismatches ELSE 0 END AS score FROM (
+      SELECT c.*, CASE WHEN drift_score > 0 THEN 2 WHEN coalesce(k, 0) > 0 THEN 1 ELSE 0 END AS stage, coalesce(k, 0) AS mismatches FROM cand c LEFT JOIN (SELECT source_file_id, count(*) AS k FROM issues GROUP BY 1) USING (source_file_id)))) WHERE rn = 1)"""
 VIEWS = """
 views AS (
   SELECT fund_code, option_code, reporting_period, source_asset_class_raw, holding_key, value_aud, ownership_pct, classification_raw, value_band_raw, NORM AS name_key,
@@ -327,6 +344,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY source_file_id ORDER BY drift_sc
   CASE WHEN stage = 0 THEN 'loaded' ELSE 'review_required' END AS ingest_status
 FROM (SELECT *, row_number() OVER (PARTITION BY source_file_id ORDER BY stage, score, n) AS rn FROM (SELECT *, CASE stage WHEN 2 THEN drift_score WHEN 1 THEN 1 + mismatches ELSE 0 END AS score
   FROM (SELECT c.*, CASE WHEN drift_score > 0 THEN 2 WHEN coalesce(k, 0) > 0 THEN 1 ELSE 0 END AS stage, coalesce(k, 0) AS mismatches FROM cand c LEFT JOIN (SELECT source_file_id, count(*) AS k FROM issues GROUP BY 1) USING (source_file_id)))) WHERE rn = 1"""),
+    "review_detail": with_ctes(FILES, LINES, OBS, TAX, ISSUES, PROFILES, DECIDED, query="""SELECT source_file_id, mapping_version_id, 'schema_drift' AS review_reason, row_number() OVER (PARTITION BY source_file_id ORDER BY k) AS position, property, expected, actual, CAST(NULL AS BIGINT) AS source_row_number
+FROM (SELECT d.source_file_id, d.mapping_version_id, unnest([{'k': 1, 'property': 'asset_classes', 'expected': array_to_string(v.classes, '|'), 'actual': array_to_string(p.classes, '|'), 'differs': p.classes <> v.classes},
+    {'k': 2, 'property': 'internal_external', 'expected': array_to_string(v.styles, '|'), 'actual': array_to_string(p.styles, '|'), 'differs': p.styles <> v.styles},
+    {'k': 3, 'property': 'option_names', 'expected': CASE WHEN v.total THEN 'Total' ELSE '' END, 'actual': CASE WHEN p.has_total THEN 'Total' ELSE '' END, 'differs': v.total IS NOT NULL AND p.has_total <> v.total}], recursive := true)
+  FROM dec d JOIN profiles p USING (source_file_id) JOIN vers v USING (n) WHERE stage = 2) WHERE differs
+UNION ALL SELECT source_file_id, mapping_version_id, 'unapproved_taxonomy_mapping', rank, reason, expected, actual, CAST(source_row_number AS BIGINT) FROM (
+  SELECT i.*, d.mapping_version_id, row_number() OVER (PARTITION BY i.source_file_id ORDER BY source_row_number, holding_key, p) AS rank FROM issues i JOIN dec d USING (source_file_id) WHERE stage = 1) WHERE rank <= 10"""),
     "review_status": """WITH i AS (SELECT o_orderkey AS item_id, o_custkey, o_orderpriority AS pr, o_totalprice >= 1000 AS printed, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS turn FROM orders WHERE o_orderstatus = 'P')
 SELECT item_id, CASE WHEN pr = '1-URGENT' THEN 'resolved' WHEN pr = '2-HIGH' THEN 'rejected' WHEN pr = '3-MEDIUM' AND turn = 1 AND printed THEN 'resolved' ELSE 'open' END AS new_status,
   CASE WHEN pr = '3-MEDIUM' AND turn = 1 AND printed THEN 'm-' || CAST(o_custkey AS VARCHAR) END AS approved_version FROM i""",

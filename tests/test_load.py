@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from holdwright.operators import governance
 from holdwright.plans import ingest
 from holdwright.plans.corpus import Corpus
 from holdwright.plans.read_models import asset_mix, cross_layout_by_name
@@ -108,6 +109,15 @@ def test_restatement_bad_file_and_drift(spark, loaded, landing, approved, tmp_pa
     assert review[("scope.csv", "unapproved_scope_modifier")].detail == "Held directly by friends"
     assert review[("late.csv", "adapter_parse_failure")].detail.startswith("period_mismatch")
     assert review[("IFB-Drift.csv", "schema_drift")].detail == "schema_fingerprint,asset_classes"
+    details: dict = {}
+    named = {v.source_file_id: k[0] for k, v in review.items()}
+    for r in loaded.facts("review_details", ingest.schema_of(governance.DETAIL)).collect():
+        details.setdefault(named[r.source_file_id], []).append((r.review_reason, r.property, r.expected, r.actual, r.source_row_number))
+    drift = sorted(details["IFB-Drift.csv"], key=str)
+    assert [(d[0], d[1]) for d in drift] == [("schema_drift", "asset_classes"), ("schema_drift", "schema_fingerprint")]
+    assert "LISTED ALTERNATIVES" in drift[0][2].split("|") and "UNLISTED ALTERNATIVES" in drift[0][3].split("|") and drift[1][2] != drift[1][3]
+    assert details["broken.csv"][0][:2] == ("adapter_parse_failure", "invalid_number") and details["broken.csv"][0][4] == 2
+    assert details["late.csv"][0][:2] == ("adapter_parse_failure", "period_mismatch") and details["late.csv"][0][4] is None
     held = Counter(r.path.rsplit("/", 1)[1] for r in holdings_of(loaded).select("path").collect())
     assert "broken.csv" not in held and "late.csv" not in held and held["restated.csv"] == 1 and held["scope.csv"] == 5
 
