@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from holdwright.plans import registered_functions, registered_governance, registered_ingest, registered_layouts, registered_links, registered_resolution
+from holdwright.plans import registered_functions, registered_governance, registered_ingest, registered_layouts, registered_links, registered_loads, registered_resolution
 from holdwright.plans.oracle_base import ENTITIES, FILES, LATEST, LINES, OBS, norm, with_ctes
 
 BASE = (FILES, LINES, OBS)
@@ -178,4 +178,4 @@ ORDER BY score DESC, CASE kind WHEN 'fund' THEN 0 WHEN 'company' THEN 1 ELSE 2 E
 
 
 def all_sql() -> dict[str, str]:
-    return {**READ_MODELS, **registered_resolution.SQL, **registered_links.SQL, **registered_layouts.SQL, **registered_governance.SQL, **registered_functions.SQL, **registered_ingest.SQL}
+    return {**READ_MODELS, **registered_resolution.SQL, **registered_links.SQL, **registered_loads.SQL, **registered_layouts.SQL, **registered_governance.SQL, **registered_functions.SQL, **registered_ingest.SQL}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdwright.plans import read_models as rm
-from holdwright.plans import registered_functions, registered_governance, registered_ingest, registered_layouts, registered_links, registered_resolution
+from holdwright.plans import registered_functions, registered_governance, registered_ingest, registered_layouts, registered_links, registered_loads, registered_resolution
 from holdwright.plans.binding import DriverTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,4 +63,4 @@ READ_MODELS: dict[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
-    return {**READ_MODELS, **registered_resolution.QUERIES, **registered_links.QUERIES, **registered_layouts.QUERIES, **registered_governance.QUERIES, **registered_functions.QUERIES, **registered_ingest.QUERIES}
+    return {**READ_MODELS, **registered_resolution.QUERIES, **registered_links.QUERIES, **registered_loads.QUERIES, **registered_layouts.QUERIES, **registered_governance.QUERIES, **registered_functions.QUERIES, **registered_ingest.QUERIES}

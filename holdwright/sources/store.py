@@ -54,3 +54,9 @@ class Store:
         if not usable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path(name, usable[-1]))
+
+    def expire(self, name: str, keep: int = 1) -> None:
+        """Remove all but the newest batches of a table."""
+        for batch in self.batches(name)[:-keep]:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name, batch))
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
