@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdwright.session import written_once
+
 NO_MATCH = "\u0000"
 
 
@@ -44,6 +46,18 @@ def skewed_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread
     return left.join(right, F.col("lookup_key") == F.col("table_key"), "left").drop("lookup_key", "table_key")
 
 
+def with_range_blocks(df: DataFrame, by: str, rows_per_block: int, name: str) -> DataFrame:
+    """Rows numbered by ranges of a column that hold about equal shares of the rows.
+
+    The ranges come from the sample that Spark takes for a range partitioning, so uneven values (small numbers beside
+    64-bit hashes) still give even blocks; equal values share a block. The numbers are written with the rows, since a sample taken
+    again may cut elsewhere.
+    """
+    df = written_once(df)
+    blocks = max(1, -(-df.count() // rows_per_block))
+    return written_once(df.repartitionByRange(blocks, by).withColumn(name, F.spark_partition_id()))
+
+
 def ordered_positions(
     df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], value: str | None = None
 ) -> DataFrame:

@@ -18,7 +18,7 @@ from holdwright import vocab
 from holdwright.functions import rules
 from holdwright.functions.identifiers import business_number, registry_type, registry_value, stable_id
 from holdwright.functions.text import normalise_name
-from holdwright.operators.skew import ordered_positions, skewed_lookup
+from holdwright.operators.skew import ordered_positions, skewed_lookup, with_range_blocks
 from holdwright.plans.corpus import Corpus, entity_names
 from holdwright.session import written_once
 
@@ -328,13 +328,11 @@ def _group() -> Column:
 
 
 def _ambiguous(corpus: Corpus, members: DataFrame, key: str) -> DataFrame:
-    """Members of every key with several, in entity order; blocks follow the range the ids span."""
+    """Members of every key with several, in entity order, whatever range the ids span."""
     counts = members.groupBy(key).agg(F.count(F.lit(1)).alias("group_rows"))
     shared = skewed_lookup(members, counts, [key], ["entity_id"]).where(F.col("group_rows") > 1)
-    low, high, n = members.agg(F.min("entity_id"), F.max("entity_id"), F.count(F.lit(1))).first()
-    width = max(1.0, ((high or 0) - (low or 0) + 1) * MEMBERS_PER_BLOCK / max(1, n))
-    block = F.floor((F.col("entity_id") - F.lit(low or 0)) / F.lit(width))
-    placed = ordered_positions(shared, [key], block, ["entity_id"])
+    shared = with_range_blocks(shared, "entity_id", MEMBERS_PER_BLOCK, "id_range")
+    placed = ordered_positions(shared, [key], F.col("id_range"), ["entity_id"]).drop("id_range")
     names = corpus.entities.select("entity_id", "canonical_name", "abn")
     return placed.join(names, "entity_id", "left")
 

@@ -128,3 +128,18 @@ def test_state_held_over_blocks_with_resets(spark):
         got = held_state(df, ["path"], F.floor(F.col("n") / size), ["n"], {"x": x, "y": y})
         assert got.columns == ["path", "n", "mark", "x", "y"]
         assert {(r.path, r.n): (r.x, r.y) for r in got.collect()} == want
+
+
+def test_blocks_of_uneven_numbers_are_even(spark):
+    """Small ids beside one far away: positions are right and no block holds most rows."""
+    from holdwright.operators.skew import ordered_positions, with_range_blocks
+
+    ids = [*range(3_000), 2**60, -(2**40)]
+    rows = spark.createDataFrame([("hot" if i % 3 else "other", i) for i in ids], "name string, id bigint").repartition(4)
+    blocked = with_range_blocks(rows, "id", 300, "part")
+    sizes = {r.part: r["count"] for r in blocked.groupBy("part").count().collect()}
+    assert len(sizes) >= 9 and max(sizes.values()) < 700
+    got = {(r.name, r.id): r.position for r in ordered_positions(blocked, ["name"], F.col("part"), ["id"]).collect()}
+    want = {(k, i): n for k in ("hot", "other") for n, i in enumerate(sorted(i for i in ids if ("hot" if i % 3 else "other") == k), 1)}
+    assert got == want
+    assert with_range_blocks(rows.where("false"), "id", 300, "part").count() == 0
