@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from holdwright.operators.skew import ordered_positions
 from holdwright.plans import ingest
 from holdwright.plans.binding import DriverTables
 from holdwright.plans.oracle_base import with_ctes
+from holdwright.plans.registered_layouts import ITEMS_PER_TASK
 from holdwright.session import checkpoint_dir
 from holdwright.sources.files import tokenise
 from holdwright.sources.layouts.flat import HEADER_11
@@ -21,8 +21,13 @@ CLASSES = ["Cash", "Listed Equity", "Unlisted Property", "Unlisted Equity", "Fix
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line item as a numbered record of the eleven-column layout, one file per order."""
+    """Every line item as a numbered record of the eleven-column layout, one file per order.
+
+    Line items are dealt by file before their cells are written, so that narrow rows move, and once.
+    """
     li = DriverTables(spark, sf).table("lineitem")
+    tasks = max(1, -(-li.count() // ITEMS_PER_TASK))
+    li = li.withColumn("path", F.col("l_orderkey").cast("string")).drop("l_orderkey").repartition(tasks, "path")
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     n = F.col("l_linenumber")
     managed = F.when(F.col("l_returnflag") == "A", "Internally Managed").when(F.col("l_returnflag") == "R", " externally managed").otherwise("")
@@ -39,13 +44,12 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("AUD"),
         F.when(F.col("l_quantity") > 40, F.concat(F.lit("AU"), F.lpad(F.col("l_partkey").cast("string"), 10, "0"))).otherwise(""),
     )
-    rows = li.select(
-        F.col("l_orderkey").cast("string").alias("path"), F.lit("flat11").alias("layout_key"), F.lit("harbour").alias("fund_code"), F.lit("").alias("source_url"),
-        F.lit(None).cast("date").alias("registered_period"), F.lit("").alias("first_line_digest"), n.alias("line"),
-        F.concat_ws("-", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("tie"), cells.alias("cells"), F.lit(0).alias("replaced"), F.lit("utf-8").alias("encoding"),
+    tie = F.concat_ws("-", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy(n, tie))
+    return li.withColumn("row_number", place + 1).select(
+        "path", F.lit("flat11").alias("layout_key"), F.lit("harbour").alias("fund_code"), F.lit("").alias("source_url"),
+        F.lit(None).cast("date").alias("registered_period"), F.lit("").alias("first_line_digest"), "row_number", cells.alias("cells"), F.lit(0).alias("replaced"), F.lit("utf-8").alias("encoding"),
     )
-    placed = ordered_positions(rows, ["path"], F.col("line"), ["line", "tie"])
-    return placed.withColumn("row_number", (F.col("position") + 1).cast("int")).drop("position", "line", "tie")
 
 
 def flat_layout_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from holdwright.plans import ingest, registered_layouts
+from holdwright.plans import ingest, registered_ingest, registered_layouts
 
 
 def exchanges(df) -> int:
@@ -32,3 +32,15 @@ def test_blocks_given_with_records_and_own_blocks_give_the_same_rows(spark, tiny
     given, own = shown(records), shown(records.drop("scan_block"))
     assert given.exceptAll(own).isEmpty() and own.exceptAll(given).isEmpty()
     assert given.where("kind = 'holding' AND source_option_name IS NULL").isEmpty()
+
+
+def test_flat_records_move_once(spark, tiny):
+    assert exchanges(registered_ingest.flat_layout_rows(spark, tiny)) <= 1
+    assert exchanges(registered_ingest.flat_file_issues(spark, tiny)) <= 1
+
+
+def test_issue_rows_do_not_repeat_the_parses(spark, tiny):
+    """The plan of the issues is about as long as that of the typed rows."""
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    typed = ingest.typed_rows_of(registered_ingest._records(spark, tiny), ["flat11"])
+    assert size(ingest.row_issues(typed)) < 2 * size(typed.select("path", "row_number", "issues"))
