@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from holdwright.plans import ingest, registered_ingest, registered_layouts
+from holdwright.plans import ingest, registered_ingest, registered_layouts, resolver
+from holdwright.plans.binding import EXPIRY_CUTOFF, DriverTables
 
 
 def exchanges(df) -> int:
@@ -44,3 +45,11 @@ def test_issue_rows_do_not_repeat_the_parses(spark, tiny):
     size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
     typed = ingest.typed_rows_of(registered_ingest._records(spark, tiny), ["flat11"])
     assert size(ingest.row_issues(typed)) < 2 * size(typed.select("path", "row_number", "issues"))
+
+
+def test_linked_holdings_take_no_part_in_the_lookups(spark, tiny):
+    """They carry no evidence, and none of them is lost."""
+    corpus = DriverTables(spark, tiny).corpus
+    rows = resolver.resolve(corpus, F.lit(EXPIRY_CUTOFF).cast("date"))
+    linked = rows.where("outcome = 'prelinked'").agg(F.count("*").alias("n"), F.count("override_id").alias("o"), F.count("id_entity").alias("i"), F.count("any_entity").alias("a")).first()
+    assert linked.n == corpus.observations.where("entity_id IS NOT NULL").count() and (linked.o, linked.i, linked.a) == (0, 0, 0)
