@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from holdwright.operators import skew
 from holdwright.plans import ingest, registered_ingest, registered_layouts, resolver
 from holdwright.plans.binding import EXPIRY_CUTOFF, DriverTables
 
@@ -53,3 +54,14 @@ def test_linked_holdings_take_no_part_in_the_lookups(spark, tiny):
     rows = resolver.resolve(corpus, F.lit(EXPIRY_CUTOFF).cast("date"))
     linked = rows.where("outcome = 'prelinked'").agg(F.count("*").alias("n"), F.count("override_id").alias("o"), F.count("id_entity").alias("i"), F.count("any_entity").alias("a")).first()
     assert linked.n == corpus.observations.where("entity_id IS NOT NULL").count() and (linked.o, linked.i, linked.a) == (0, 0, 0)
+
+
+def test_tasks_of_the_star_join_hold_bounded_rows(spark, tiny, monkeypatch):
+    """Enough rows are dealt to tasks by their number, and none is lost or changed."""
+    keep = ["source_file_id", "holding_key", "raw_name", "is_current", "option_code"]
+    plain = DriverTables(spark, tiny).observations.select(*keep)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 200)
+    even = DriverTables(spark, tiny).observations.select(*keep)
+    assert plain.exceptAll(even).isEmpty() and even.exceptAll(plain).isEmpty()
+    sizes = even.groupBy(F.spark_partition_id()).count().agg(F.count("*").alias("tasks"), F.max("count").alias("most")).first()
+    assert sizes.tasks >= 25 and sizes.most < 400
