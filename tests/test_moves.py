@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from holdwright.operators import skew
 from holdwright.plans import ingest, registered_ingest, registered_layouts, resolver
 from holdwright.plans.binding import EXPIRY_CUTOFF, DriverTables
+from holdwright.sources import files as sources
 
 
 def exchanges(df) -> int:
@@ -65,3 +67,22 @@ def test_tasks_of_the_star_join_hold_bounded_rows(spark, tiny, monkeypatch):
     assert plain.exceptAll(even).isEmpty() and even.exceptAll(plain).isEmpty()
     sizes = even.groupBy(F.spark_partition_id()).count().agg(F.count("*").alias("tasks"), F.max("count").alias("most")).first()
     assert sizes.tasks >= 25 and sizes.most < 400
+
+
+def test_records_of_small_files_share_batches(spark, monkeypatch):
+    """A task hands over batches by the number of records, not one for each file, and rows stay with their file."""
+    files = spark.range(3000, numPartitions=1).select(
+        F.col("id").cast("string").alias("path"), F.encode(F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit('"a\n'), F.col("id").cast("string"), F.lit('",b\n\nc'))), "utf-8").alias("content"),
+        F.lit("replace").alias("decoding"),
+    )
+    tables = sources.tokenise(files, carried=["path"])
+    made = []
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, run, schema: made.append(run) or self)
+    sources.tokenise(files, carried=["path"])
+    batch = pa.table({"path": [str(i) for i in range(3000)], "content": [b"x\ny"] * 3000, "decoding": ["replace"] * 3000}).to_batches()
+    assert len(list(made[0](iter(batch)))) == 2
+    rows = tables.groupBy("path").agg(F.max("row_number").alias("last"), F.max(F.get("cells", 0)).alias("text")).collect()
+    assert len(rows) == 3000
+    for r in rows:
+        assert (r.last, r.text) == ((0, None) if int(r.path) % 3 == 0 else (3, "c"))
+    assert {r.cells[0] for r in tables.where("row_number = 1").select("cells").collect()} == {f"a\n{i}" for i in range(3000) if i % 3}
