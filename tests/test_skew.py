@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from holdwright.operators import skew
 from holdwright.operators.merge_views import merge_duplicate_views
 from holdwright.operators.paging import page, page_of_each, top_of_each
 from holdwright.operators.skew import fill_forward, held_state, ordered_positions, skewed_lookup
@@ -143,3 +144,19 @@ def test_blocks_of_uneven_numbers_are_even(spark):
     want = {(k, i): n for k in ("hot", "other") for n, i in enumerate(sorted(i for i in ids if ("hot" if i % 3 else "other") == k), 1)}
     assert got == want
     assert with_range_blocks(rows.where("false"), "id", 300, "part").count() == 0
+
+
+def test_pairs_of_frequent_keys_are_made_in_blocks(spark, monkeypatch):
+    """Either side may hold the many rows of a key; every pair comes once, and no task makes most of them."""
+    rows = spark.range(1500).selectExpr("CASE WHEN id < 600 THEN 'a' WHEN id < 605 THEN 'b' ELSE concat('c', id) END AS k", "id AS r")
+    table = spark.range(1500).selectExpr("CASE WHEN id < 5 THEN 'a' WHEN id < 605 THEN 'b' ELSE concat('c', id) END AS k", "id AS t")
+    table = table.unionByName(table.where("t >= 605").withColumn("t", F.col("t") + 10_000))
+    plain = rows.join(table, "k")
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
+    even = skew.join_in_blocks(rows, table, ["k"])
+    assert even.count() == plain.count() == 600 * 5 * 2 + 895 * 2
+    assert plain.exceptAll(even).isEmpty() and even.exceptAll(plain).isEmpty()
+    assert even.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1000
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 10_000)
+    few = skew.join_in_blocks(rows, table, ["k"])
+    assert plain.exceptAll(few).isEmpty() and few.exceptAll(plain).isEmpty()
