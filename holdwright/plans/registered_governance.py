@@ -195,13 +195,14 @@ VIEW_GROUP = [*FILING, "source_asset_class_raw", "name_key"]
 
 
 def _views(t: DriverTables) -> DataFrame:
-    """Filings of a fund, option and period read as one file with duplicate views."""
+    """Filings of a fund, option and period read as one file with duplicate views; written, since groups and rows both read them."""
     rows = t.observations.where(F.col("has_name"))
     key = F.when(F.col("source_subclass_raw").isNotNull(), F.lower("source_subclass_raw")).otherwise(F.lit("all assets"))
-    return rows.select(
+    views = rows.select(
         *FILING, "source_asset_class_raw", "holding_key", "value_aud", "ownership_pct", "classification_raw", "value_band_raw", normalise_name(F.col("raw_name")).alias("name_key"),
         view_role(key, F.col("value_aud"), F.col("ownership_pct")).alias("view_role"),
     )
+    return written_once(views)
 
 
 def duplicate_view_merge(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from holdwright.operators import skew
-from holdwright.plans import ingest, registered_ingest, registered_layouts, resolver
+from holdwright.plans import ingest, registered_governance, registered_ingest, registered_layouts, resolver
 from holdwright.plans.binding import EXPIRY_CUTOFF, DriverTables
 from holdwright.sources import files as sources
 
@@ -86,3 +86,10 @@ def test_records_of_small_files_share_batches(spark, monkeypatch):
     for r in rows:
         assert (r.last, r.text) == ((0, None) if int(r.path) % 3 == 0 else (3, "c"))
     assert {r.cells[0] for r in tables.where("row_number = 1").select("cells").collect()} == {f"a\n{i}" for i in range(3000) if i % 3}
+
+
+@pytest.mark.parametrize("name", ["duplicate_view_merge", "duplicate_view_events"])
+def test_duplicate_views_read_the_star_join_once(spark, tiny, name):
+    """Groups and rows both read the written views, not the tables."""
+    files = registered_governance.QUERIES[name](spark, tiny).inputFiles()
+    assert files and not [f for f in files if tiny in f]
