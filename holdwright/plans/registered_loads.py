@@ -12,7 +12,7 @@ from holdwright.functions.identifiers import json_digest
 from holdwright.operators import reconcile, versions
 from holdwright.plans.assets import Assets
 from holdwright.plans.binding import DriverTables
-from holdwright.plans.corpus import Corpus
+from holdwright.plans.corpus import Corpus, current_named
 from holdwright.plans.oracle_base import ENTITIES, FILES, LINES, OBS, norm, with_ctes
 from holdwright.plans.registered_governance import CELLS, _cells
 from holdwright.plans.registered_links import FIRST_BATCH_END, _early
@@ -88,10 +88,16 @@ def _placed(spark: SparkSession, sf: str) -> Corpus:
     return dataclasses.replace(corpus, observations=rows, entities=known)
 
 
+#: What the runs need of a holding.
+SEEN = ["holding_key", "raw_name", "asset_class_code", "address_raw", "location_raw", "geo_lat", "geo_lng", "reporting_period", "is_current", "ingest_status", "is_aggregate", "has_name"]
+
+
 def _two_runs(spark: SparkSession, sf: str) -> tuple[Corpus, Assets, DataFrame]:
+    """Both runs read one written copy of what they need of the current rows, so the star join is made once for them."""
     corpus, state = _placed(spark, sf), Assets(_store(spark))
-    state.run(_early(corpus), 1)
-    later = dataclasses.replace(corpus, entities=state.entities(corpus.entities))
+    seen = dataclasses.replace(corpus, observations=written_once(current_named(corpus).select(*SEEN)))
+    state.run(_early(seen), 1)
+    later = dataclasses.replace(seen, entities=state.entities(corpus.entities))
     return corpus, state, state.run(later, 2)[0]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from holdwright.operators import skew
-from holdwright.plans import ingest, registered_governance, registered_ingest, registered_layouts, resolver
+from holdwright.plans import ingest, registered_governance, registered_ingest, registered_layouts, registered_loads, resolver
 from holdwright.plans.binding import EXPIRY_CUTOFF, DriverTables
 from holdwright.sources import files as sources
 
@@ -93,3 +93,11 @@ def test_duplicate_views_read_the_star_join_once(spark, tiny, name):
     """Groups and rows both read the written views, not the tables."""
     files = registered_governance.QUERIES[name](spark, tiny).inputFiles()
     assert files and not [f for f in files if tiny in f]
+
+
+def test_both_asset_runs_read_one_written_star_join(spark, tiny, monkeypatch):
+    read, run = [], registered_loads.Assets.run
+    monkeypatch.setattr(registered_loads.Assets, "run", lambda self, corpus, number: read.append(corpus.observations.inputFiles()) or run(self, corpus, number))
+    registered_loads.QUERIES["asset_outcomes"](spark, tiny)
+    assert len(read) == 2 and read[0] and set(read[0]) == set(read[1])
+    assert not [f for f in read[0] if tiny in f]
