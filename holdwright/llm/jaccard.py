@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 from holdwright.llm import blocks
 from holdwright.llm.components import components
 from holdwright.llm.kernels import PRIME, bucket_of, grams, list_slices, mix, slices, strings, words_of
-from holdwright.llm.tables import stored, text_buckets
+from holdwright.llm.tables import noted, removed, stored, text_buckets
 from holdwright.operators.skew import skewed_lookup
 
 ORDERS = 8
+MOST_NUMBERS = 4_000
 NONE = -1
 
 
@@ -295,11 +296,37 @@ def open_groups(labelled: DataFrame, percent: int, parts: int) -> DataFrame:
     return shared.join(needs, F.col("id") == F.col("group")).where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("least")).select("group")
 
 
+def may_hold(fits: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The (id, asked) pairs whose union may hold the overlap that the document needs.
+
+    A pair is one row with the document's shingles as 32-bit numbers, not a row for each shingle. What is missing from the union is
+    counted by distinct numbers, so shingles with equal numbers only make the bound higher, and no pair is lost. A union of
+    more than MOST_NUMBERS shingles is no row: it is asked shingle by shingle.
+    """
+    union = stored(shared.select("token", F.col("group").alias("asked")).distinct())
+    sizes = union.groupBy("asked").agg(F.count("*").alias("numbers_of_union"))
+    sized = stored(fits.join(sizes, "asked"))
+    is_small = F.col("numbers_of_union") <= MOST_NUMBERS
+    short = F.hash("token")
+    own = shared.groupBy("id").agg(F.count("*").alias("known"), F.collect_set(short).alias("numbers"))
+    whole = union.join(sizes.where(is_small).select("asked"), "asked").groupBy("asked").agg(F.collect_set(short).alias("union"))
+    met = sized.where(is_small).select("asked", "id", "n").join(own, "id").join(whole, "asked")
+    missing = F.size(F.array_except("numbers", "union"))
+    small = met.where(F.lit(100) * (F.col("known") - missing) >= F.lit(percent) * F.col("n")).select("id", "asked")
+    asks = sized.where(~is_small).select("id", "asked", "n").join(shared.select("id", "token"), "id")
+    overlap = asks.join(union, ["token", "asked"]).groupBy("id", "asked", "n").agg(F.count("*").alias("common"))
+    return small.unionByName(overlap.where(F.lit(100) * F.col("common") >= F.lit(percent) * F.col("n")).select("id", "asked"))
+
+
 def links_between(opened: DataFrame, percent: int) -> DataFrame:
     """Verified links between documents of different open groups; `opened` has (id, group, n, tokens)."""
-    tokens = stored(opened.select("id", "group", "n", F.explode("tokens").alias("token")))
-    across = tokens.groupBy("token").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("df")).where("a < b").select("token", "df")
-    shared = stored(skewed_lookup(tokens, stored(across), ["token"], ["id"]).where("df is not null"))
+    spark, scratch = opened.sparkSession, []
+    with noted(scratch):
+        tokens = stored(opened.select("id", "group", "n", F.explode("tokens").alias("token")))
+        across = tokens.groupBy("token").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("df")).where("a < b").select("token", "df")
+        across = stored(across)
+    shared = stored(skewed_lookup(tokens, across, ["token"], ["id"]).where("df is not null"))
+    removed(spark, scratch)
     enough = shared.groupBy("id", "n").agg(F.count("*").alias("known")).where(F.lit(100) * F.col("known") >= F.lit(percent) * F.col("n"))
     need = F.ceil(F.lit(percent) * F.col("n") / F.lit(100))
     # shingles of no other group come first in the order and match nothing
@@ -312,10 +339,10 @@ def links_between(opened: DataFrame, percent: int) -> DataFrame:
     # what a document shares with other groups must hold the overlap that the group's smallest possible partner needs
     smallest = F.greatest(F.col("least").cast("double"), F.col("n") * (percent / 100))
     holds = F.col("known") * (100 + percent) + 1e-6 >= F.lit(percent) * (F.col("n") + smallest)
-    fits = prefix.join(matrix, "token").where((F.col("group") != F.col("asked")) & holds).select("id", "asked", "n").distinct()
-    union = shared.select("token", F.col("group").alias("asked")).distinct()
-    overlap = fits.join(shared.select("id", "token"), "id").join(union, ["token", "asked"]).groupBy("id", "asked", "n").agg(F.count("*").alias("common"))
-    asking = overlap.where(F.lit(100) * F.col("common") >= F.lit(percent) * F.col("n")).select("id", "asked")
+    fits = stored(prefix.join(matrix, "token").where((F.col("group") != F.col("asked")) & holds).select("id", "asked", "n").distinct())
+    removed(spark, [])
+    asking = stored(may_hold(fits, shared, percent))
+    removed(spark, [])
     members = opened.select(F.col("group").alias("asked"), F.col("id").alias("other"))
     pairs = asking.join(members, "asked").select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
     return verified(pairs, opened.select("id", "n", "tokens"), percent)
@@ -333,11 +360,21 @@ def link_components(docs: DataFrame, percent: int = 75, size: int = 5, key: str
     keep = skewed_lookup(about.where("n > 0"), counted.select(F.col("id").alias("id"), "shared"), ["id"], ["id"]).where(F.col("shared") >= F.greatest(F.lit(1.0), F.floor(F.col("n") * least + 1e-6)))
     shares = keep.groupBy("c1", "c2").agg(F.max(F.col("shared") / F.col("n")).alias("central"))
     wanted = stored(shares.join(classes, ["c1", "c2"]).groupBy(F.col("rep").alias("id")).agg(F.max("central").alias("central")))
-    sets = stored(sets_of(source, wanted, size, buckets))
+    # what only one step reads goes behind it, so that texts, sets and candidate pairs never lie on the disks together
+    spark, scratch = docs.sparkSession, []
+    removed(spark, [])
+    with noted(scratch):
+        sets = stored(sets_of(source, wanted, size, buckets))
+    removed(spark, [])
     groups = stored(similar_groups(sets, wanted, percent))
-    labelled = sets.join(groups, "id")
-    opened = stored(labelled.join(open_groups(labelled, percent, parts), "group", "left_semi"))
-    between = stored(links_between(opened, percent)) if not opened.isEmpty() else None
+    removed(spark, [])
+    with noted(scratch):
+        labelled = sets.join(groups, "id")
+        opened = stored(labelled.join(open_groups(labelled, percent, parts), "group", "left_semi"))
+        removed(spark, [])
+        links = None if opened.isEmpty() else links_between(opened, percent)
+    between = None if links is None else stored(links)
+    removed(spark, scratch)
     label = groups.select(F.col("id").alias("rep"), F.col("group").alias("component"))
     if between is not None and not between.isEmpty():
         of = groups.select("id", "group")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -23,7 +24,7 @@ _lists: list[list[str]] = []
 
 @contextmanager
 def noted(places: list[str]) -> Iterator[None]:
-    """Notes the tables that `stored` writes meanwhile."""
+    """Notes the tables that `stored` writes meanwhile, in every list that is open."""
     _lists.append(places)
     try:
         yield
@@ -31,20 +32,26 @@ def noted(places: list[str]) -> Iterator[None]:
         _lists.pop()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Written to the shared folder and read back: lineage ends here, and a lost executor costs only its own tasks."""
     place = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    if _lists:
-        _lists[-1].append(place)
-    df.write.parquet(place)
+    for places in _lists:
+        places.append(place)
+    df.write.parquet(place, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
 def removed(spark: SparkSession, places: list[str]) -> None:
-    """Delete noted tables that nothing reads any more."""
+    """Delete noted tables that nothing reads any more, and the shuffle files of finished jobs.
+
+    Spark removes the latter once the driver's garbage collection finds their jobs unreachable, which with a
+    large driver may be long after the disks are full; so a collection is asked for.
+    """
     while places:
         place = spark._jvm.org.apache.hadoop.fs.Path(places.pop())
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
