@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from holdwright.llm import jaccard
+from holdwright.llm import jaccard, lines
 from holdwright.session import checkpoint_dir
 
 
@@ -35,3 +35,15 @@ def test_unions_asked_as_rows_or_by_shingle(spark, monkeypatch, most):
     got = {r.doc_id: r.component_id for r in jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 0 if i < 100 else i for i, _ in rows}
     assert not {"tokens", "token"} & columns(spark, written(spark) - before)
+
+
+def test_lines_leave_no_places(spark):
+    """Texts and places of lines go when the groups are known; a repeated and a near line go, whatever part they meet in."""
+    rng = random.Random(4)
+    line = lambda n: " ".join(f"w{rng.randrange(10**4)}" for _ in range(n))
+    texts = [line(n) for n in (6, 12, 24, 40, 80, 160)]
+    rows = [(1, "\n".join(texts)), (2, "\n".join(t[:-1] + "x" for t in texts)), (3, texts[3] + "\n" + line(30))]
+    before = written(spark)
+    got = {r.doc_id: r.removed for r in lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0, 1, 2, 3, 4, 5], 3: [0]}
+    assert not {"norm", "bucket"} & columns(spark, written(spark) - before)
