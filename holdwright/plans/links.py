@@ -20,7 +20,7 @@ from holdwright.functions.text import normalise_name
 from holdwright.operators.skew import skewed_lookup
 from holdwright.plans import resolver
 from holdwright.plans.corpus import Corpus
-from holdwright.session import written_once
+from holdwright.session import freed, scratch, written_alone, written_once
 from holdwright.sources.keyed import KeyedTable, Merge, keyed
 from holdwright.sources.store import Store
 
@@ -30,6 +30,9 @@ ALIASES = "entity_id bigint, alias string, alias_normalized string, is_preferred
 OVERRIDES = "override_id bigint, name_key string, fund_code string, asset_class_scope string, entity_type_scope string, action string, matched_entity_id bigint, expires_at date, created_by string, reason string, decided_at timestamp"
 TARGETS = "override_id bigint, matched_entity_id bigint"
 QUEUE = "holding_key string, item_no int, group_kind string, group_key string, group_scope string, candidate_count bigint, top_candidate_score decimal(6,5), raw_name string, fund_code string, asset_class string, scope string, name_key string, status string, resolved_by string, notes string, decided_at timestamp"
+#: What a run needs of a resolved holding: of all, and of those that had no link.
+COUNTED = ["prelinked", "outcome", "resolved_entity", "override_applies", "id_hits", "id_kind", "id_given", "name_hits", "name_rejected"]
+EVIDENCE = ["name_key", "raw_name", "fund_code", "asset_class", "scope", "id_value", "override_id", "action", "target_entity", "new_entity_type", "queue_score"]
 SCOPE = ["name_key", "fund_code", "asset_class_scope", "entity_type_scope"]
 
 
@@ -132,8 +135,11 @@ class Resolution:
     def corpus(self, base: Corpus) -> Corpus:
         """The corpus with everything that earlier runs and decisions found."""
         link = self.links.rows().where(F.col("entity_id").isNotNull()).select("holding_key", F.col("entity_id").alias("kept_entity"))
-        seen = skewed_lookup(base.observations, link, ["holding_key"], ["holding_key"])
-        seen = seen.withColumn("entity_id", F.coalesce("entity_id", "kept_entity")).drop("kept_entity")
+        seen = base.observations
+        if self.links.snapshots():  # only holdings without a link of their own ask for a kept one
+            asking = skewed_lookup(seen.where(F.col("entity_id").isNull()), link, ["holding_key"], ["holding_key"])
+            asking = asking.withColumn("entity_id", F.col("kept_entity")).select(*seen.columns)
+            seen = seen.where(F.col("entity_id").isNotNull()).unionByName(asking)
         made = self.created.rows().select(*base.entities.columns)
         spelled = self.aliases.rows().select(*base.aliases.columns)
         return dataclasses.replace(
@@ -150,8 +156,17 @@ class Resolution:
 
     def run(self, base: Corpus, now: Column, run: int) -> tuple[DataFrame, dict[str, Merge]]:
         """Resolve the holdings of `base` that have no link yet; the run's counters, and what it wrote."""
-        corpus = self.corpus(base)
-        resolved = written_once(resolver.resolve(corpus, now))
+        spark = base.observations.sparkSession
+        with scratch(spark):
+            summary, wrote = self._run(self.corpus(base), now, run)
+            counters = spark.createDataFrame([summary.first()], summary.schema)
+        return counters, wrote
+
+    def _run(self, corpus: Corpus, now: Column, run: int) -> tuple[DataFrame, dict[str, Merge]]:
+        open_ = ~F.col("prelinked")
+        # a linked holding is only counted, so its texts are not written
+        columns = ["holding_key", *COUNTED, *[F.when(open_, F.col(c)).alias(c) for c in EVIDENCE]]
+        resolved = written_alone(corpus.observations.sparkSession, lambda: resolver.resolve(corpus, now).select(*columns))
         fresh = resolved.where(~F.col("prelinked") & (F.col("resolved_entity").isNotNull() | (F.col("outcome") == "force_no_match")))
         known = self.links.rows().select("holding_key", F.col("outcome").alias("o"), F.col("entity_id").alias("e"), F.col("run").alias("first_run"))
         ruled = F.when(F.col("outcome").isin(*vocab.OVERRIDE_ACTIONS), F.col("override_id"))
@@ -188,6 +203,7 @@ class Resolution:
             "links": self.links.merge(link),
             "queue": self.queue.merge(closed_items(done)),
         }
+        freed(done.sparkSession)
         return done, wrote
 
 
